@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import langid, line_dedup
+from .common import crc_mod, table
 from .packing import pack
 
 
@@ -16,9 +18,38 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod("doc_id", 4) == 2).alias("held_out"))
+    model = langid.learn(docs.where(~F.col("held_out")))
+    judged = langid.identify(docs, model)
+    return judged.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_packing": op10_packing}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op8_language_id": op8_language_id,
+    "op10_packing": op10_packing,
+}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20
+              GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+        SELECT k.doc_id, count(*) AS n_lines, count(c.key) FILTER (k.doc_id <> c.keeper) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos)
+                               FILTER (c.key IS NULL OR k.doc_id = c.keeper), '')) AS kept_sha256
+        FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.doc_id
+    """,
+}
