@@ -1,9 +1,66 @@
-"""The training-text pipeline: language, repeated lines, near copies, benchmark leaks, packing."""
+"""The training-text pipeline: language, repeated lines, near copies, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last give the columns of `documents`. Each stage calls one operator of fieldloom.llm.
+"""
+
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.llm import decontamination, langid, line_dedup, near_dup
+from fieldloom.llm.common import DOCUMENT_COLUMNS, table, written
+from fieldloom.llm.packing import pack
+from fieldloom.llm.queries import tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language go on, labelled with the one found where they had no label; others go."""
+    found = langid.identify(docs, langid.learn(docs), carry=("text", "lang", "source", "n_chars"))
+    found = found.where(F.col("lang_pred") != "und").withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return found.select(*DOCUMENT_COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that another document keeps; a document of which nothing is left goes."""
+    kept = line_dedup.dedup_lines(docs, carry=("lang", "source"))
+    kept = kept.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays."""
+    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), carry=("lang", "source", "n_chars"))
+    return found.where(~F.col("contaminated")).select(*DOCUMENT_COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", lines),
+    ("near dedup", near_copies),
+    ("decontamination", benchmark_leaks),
+    ("packing", packing),
+]
+
+#: None of the stages but the second can be said in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name.replace(" ", "-"))
+    return docs

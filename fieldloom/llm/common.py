@@ -36,6 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def schema_text(df: DataFrame, columns) -> str:
+    """The DDL of some columns, for Arrow functions that hand them through; "" for none."""
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def crc_mod(column: str, divisor: int) -> Column:
     """crc32 of the id written as decimal text, modulo `divisor`; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor

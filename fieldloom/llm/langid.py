@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, text_chunks
+from .common import mix, schema_text, text_chunks
 
 MIN_RATE = 1e-5
 SHARE = 0.5
@@ -136,8 +136,8 @@ def learn(docs: DataFrame) -> LanguageFilters:
     return model
 
 
-def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
-    """doc_id, lang_pred, score of each row."""
+def identify(docs: DataFrame, model: LanguageFilters, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score of each row, and the columns to carry along."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.rows, model.false_positives))
 
     def run(batches):
@@ -159,6 +159,8 @@ def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
                 top = shares.max(axis=1) if len(fp) else np.zeros(len(n))
                 preds.append(names[np.where(known, best, len(fp))])
                 scores.append(np.where(known & (top > 0), top / np.maximum(shares.sum(axis=1), 1e-300), 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(preds), pa.string()), pa.array(np.concatenate(scores))], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(preds), pa.string()), pa.array(np.concatenate(scores)), *map(batch.column, carry)], names=["doc_id", "lang_pred", "score", *carry])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rest = [c for c in carry if c != "text"]
+    schema = f"doc_id long, lang_pred string, score double{schema_text(docs, carry)}"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *rest).mapInArrow(run, schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, written
+from .common import mix, schema_text, written
 
 MARGIN = b" \t\n\v\f\r"
 KEY = ["h1", "h2"]
@@ -225,13 +225,16 @@ class LineIndex:
         again = counted(left.join(touched, KEY, "left_semi"))
         return self._after(left, self.references.join(touched, KEY, "left_anti").unionByName(again), touched)
 
-    def scrub(self, docs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-        """doc_id, text (kept lines), n_lines, n_dropped of each row; `postings` are those of `docs`, where known."""
+    def scrub(self, docs: DataFrame, postings: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+        """doc_id, text (kept lines), n_lines, n_dropped of each row, and the columns to carry along.
+
+        `postings` are those of `docs`, where they are at hand.
+        """
         postings = postings_of(docs, self.min_chars).distinct() if postings is None else postings
         shared = self.references.where(F.col("n_docs") >= self.min_docs).select(*KEY, "keeper")
         drops = let_through(postings, self.filters, self.shards).join(shared, KEY).where(F.col("doc_id") != F.col("keeper"))
         by_doc = drops.groupBy("doc_id").agg(F.collect_list("h1").alias("drop1"), F.collect_list("h2").alias("drop2"))
-        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(by_doc, "doc_id", "left")
+        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry).join(by_doc, "doc_id", "left")
         min_chars = self.min_chars
 
         def run(batches):
@@ -247,13 +250,13 @@ class LineIndex:
                         lines = [x for x in lines if line_key(x, min_chars) not in drop]
                     n_dropped.append(n_lines[-1] - len(lines))
                     kept.append(b"\n".join(lines))
-                arrays = [batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "n_lines", "n_dropped"])
+                arrays = [batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *map(batch.column, carry)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "n_lines", "n_dropped", *carry])
 
-        return rows.mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
+        return rows.mapInArrow(run, f"doc_id long, text string, n_lines long, n_dropped long{schema_text(docs, carry)}")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """Scrubs documents against an index of themselves: doc_id, text, n_lines, n_dropped."""
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Scrubs documents against an index of themselves: doc_id, text, n_lines, n_dropped, and what is carried along."""
     index = LineIndex.build(docs, min_docs, min_chars)
-    return index.scrub(docs, index.postings)
+    return index.scrub(docs, index.postings, carry)
