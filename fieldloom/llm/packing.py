@@ -11,6 +11,7 @@ each length, ranked by task and order in it, take the patterns' places by arithm
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, list[int]] = {}
         self.cores: dict[str, list[int]] = {}
 
     def core(self, word: str) -> list[int]:
@@ -50,7 +51,7 @@ class WordEncoder:
             ids = self.cores[word] = [t.id for t in self.merges.tokenize(name)]
         return ids
 
-    def __call__(self, word: bytes) -> np.ndarray:
+    def __call__(self, word: bytes) -> list[int]:
         ids = self.known.get(word)
         if ids is None:
             text = word.decode()
@@ -63,7 +64,7 @@ class WordEncoder:
             if len(self.known) > 1_000_000:
                 self.known.clear()
                 self.cores.clear()
-            ids = self.known[word] = np.array(found, np.uint32)
+            ids = self.known[word] = found
         return ids
 
 
@@ -84,14 +85,16 @@ def encode_texts(texts: pa.Array, encoder: WordEncoder):
         closing[starts] = True
         ends = np.flatnonzero(closing)
         ends = ends[np.searchsorted(ends, begins, "right")]
-        _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        which, distinct = pd.factorize(hashes)
+        at = np.empty(len(distinct), np.int64)
+        at[which[::-1]] = np.arange(len(hashes) - 1, -1, -1)
         raw = data.tobytes()
         words = [encoder(raw[i:j]) for i, j in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         offsets = np.cumsum(sizes) - sizes
         n = sizes[which]
         upto = np.append(0, np.cumsum(n))
-        ids = np.concatenate(words)[np.repeat(offsets[which] - upto[:-1], n) + np.arange(upto[-1])]
+        ids = np.fromiter(chain.from_iterable(words), np.uint32, int(sizes.sum()))[np.repeat(offsets[which] - upto[:-1], n) + np.arange(upto[-1])]
         yield a, b, ids, upto[bounds]
 
 
