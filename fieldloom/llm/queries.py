@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, line_dedup, lm_scoring, near_dup
+from . import decontamination, langid, line_dedup, lm_scoring, near_dup, pii, quality, topk_search, url_filter
 from .common import crc_mod, table
 from .packing import pack
 
@@ -32,6 +32,39 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "n_items", F.col("leaks.item_id").alias("item_ids"), F.col("leaks.distance").alias("distances"))
 
 
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, rule string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), rules)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    everything = F.array_sort(F.concat("spans", "added"))
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.written_out(F.col("spans")).cast("binary"), 256).alias("base_sha256"),
+        pii.written_out(everything).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod("doc_id", 4) == 2).alias("held_out"))
     model = langid.learn(docs.where(~F.col("held_out")))
@@ -51,6 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
+    "op4_url_filter": op4_url_filter,
+    "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
+    "op7_topk_search": op7_topk_search,
     "op8_language_id": op8_language_id,
     "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
