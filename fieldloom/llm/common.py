@@ -88,7 +88,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, tables: tuple) -> tuple[np
     return h, np.searchsorted(at[begins], starts)
 
 
-def text_chunks(texts: pa.Array, most: int = 1 << 21):
+def text_chunks(texts: pa.Array, most: int = 1 << 19):
     """Runs of texts of about `most` bytes: (first row, row after the last, bytes, bounds). Nulls are empty texts."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = texts.cast(pa.large_string()).fill_null("")

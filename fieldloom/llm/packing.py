@@ -24,6 +24,7 @@ from .common import byte_tables, text_chunks, word_hashes, written
 
 SEQUENCE = 2048
 UNIT = 16
+HELD_WORDS = 200_000
 
 
 class WordEncoder:
@@ -61,9 +62,9 @@ class WordEncoder:
                 found = self.core(stem) + (self.core(low[-1]) if stem is not low else [])
             else:
                 found = self.whole.encode(text, add_special_tokens=False).ids
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-                self.cores.clear()
+            for held in (self.known, self.cores):
+                if len(held) > HELD_WORDS:
+                    held.clear()
             ids = self.known[word] = found
         return ids
 
@@ -71,7 +72,7 @@ class WordEncoder:
 def encode_texts(texts: pa.Array, encoder: WordEncoder):
     """(first row, row after the last, ids of all these texts, bounds of each text's ids)."""
     tables = byte_tables()
-    for a, b, data, starts in text_chunks(texts, 1 << 22):
+    for a, b, data, starts in text_chunks(texts, 1 << 20):
         hashes, bounds = word_hashes(data, starts, tables)
         if not len(hashes):
             yield a, b, np.empty(0, np.uint32), np.zeros(b - a + 1, np.int64)
