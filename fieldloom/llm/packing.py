@@ -24,14 +24,15 @@ from .common import byte_tables, text_chunks, word_hashes, written
 
 SEQUENCE = 2048
 UNIT = 16
-HELD_WORDS = 200_000
+HELD_STEMS = 100_000
 
 
 class WordEncoder:
-    """Ids of single words under a byte-level BPE with word ends, each word encoded once.
+    """Ids of words under a byte-level BPE with word ends, each distinct word of a task encoded once.
 
-    A word of Latin letters, with or without a full stop or comma, goes straight to the merges: for it,
-    normalising and pre-splitting change nothing but case. Any other word takes the tokenizer's whole path.
+    A word of Latin letters, with or without a full stop or comma, goes straight to the merges: for it, normalising
+    and pre-splitting change nothing but case. Any other word takes the tokenizer's whole path. Known words lie in
+    arrays, sorted by their hash, with their ids in one pool: some 30 bytes for each.
     """
 
     def __init__(self, path: str):
@@ -42,31 +43,39 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.known: dict[bytes, list[int]] = {}
-        self.cores: dict[str, list[int]] = {}
+        self.stems: dict[str, list[int]] = {}
+        self.hashes, self.offsets, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, np.uint32)
 
-    def core(self, word: str) -> list[int]:
-        ids = self.cores.get(word)
+    def stem(self, word: str) -> list[int]:
+        ids = self.stems.get(word)
         if ids is None:
             name = word if word.isascii() else "".join(map(self.byte_names.__getitem__, word.encode()))
-            ids = self.cores[word] = [t.id for t in self.merges.tokenize(name)]
+            if len(self.stems) > HELD_STEMS:
+                self.stems.clear()
+            ids = self.stems[word] = [t.id for t in self.merges.tokenize(name)]
         return ids
 
-    def __call__(self, word: bytes) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            text = word.decode()
-            low = text.lower()
-            stem = low[:-1] if low[-1] in ".," else low
-            if stem.isalpha() and stem.isprintable() and max(low) < "Ā":
-                found = self.core(stem) + (self.core(low[-1]) if stem is not low else [])
-            else:
-                found = self.whole.encode(text, add_special_tokens=False).ids
-            for held in (self.known, self.cores):
-                if len(held) > HELD_WORDS:
-                    held.clear()
-            ids = self.known[word] = found
-        return ids
+    def word(self, word: bytes) -> list[int]:
+        low = word.decode().lower()
+        stem = low[:-1] if low[-1] in ".," else low
+        if stem.isalpha() and max(low) < "Ā":
+            return self.stem(stem) if stem is low else self.stem(stem) + self.stem(low[-1])
+        return self.whole.encode(word.decode(), add_special_tokens=False).ids
+
+    def find(self, hashes: np.ndarray, spell) -> np.ndarray:
+        """Places of distinct words among the known; `spell` gives the bytes of those at some places of `hashes`."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if not len(new):
+            return at
+        found = [self.word(w) for w in spell(new)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        offsets = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        by = np.argsort(all_ := np.append(self.hashes, hashes[new]))
+        self.hashes, self.offsets, self.sizes = all_[by], np.append(self.offsets, offsets)[by], np.append(self.sizes, sizes)[by]
+        return np.searchsorted(self.hashes, hashes)
 
 
 def encode_texts(texts: pa.Array, encoder: WordEncoder):
@@ -85,18 +94,19 @@ def encode_texts(texts: pa.Array, encoder: WordEncoder):
         closing = np.append(blank, True)
         closing[starts] = True
         ends = np.flatnonzero(closing)
-        ends = ends[np.searchsorted(ends, begins, "right")]
         which, distinct = pd.factorize(hashes)
         at = np.empty(len(distinct), np.int64)
         at[which[::-1]] = np.arange(len(hashes) - 1, -1, -1)
-        raw = data.tobytes()
-        words = [encoder(raw[i:j]) for i, j in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        offsets = np.cumsum(sizes) - sizes
-        n = sizes[which]
+
+        def spell(places, at=at, begins=begins, ends=ends, raw=data.tobytes()):
+            i = begins[at[places]]
+            j = ends[np.searchsorted(ends, i, "right")]
+            return [raw[x:y] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+
+        word = encoder.find(distinct, spell)[which]
+        n = encoder.sizes[word]
         upto = np.append(0, np.cumsum(n))
-        ids = np.fromiter(chain.from_iterable(words), np.uint32, int(sizes.sum()))[np.repeat(offsets[which] - upto[:-1], n) + np.arange(upto[-1])]
-        yield a, b, ids, upto[bounds]
+        yield a, b, encoder.pool[np.repeat(encoder.offsets[word] - upto[:-1], n) + np.arange(upto[-1])], upto[bounds]
 
 
 def cut_pieces(
