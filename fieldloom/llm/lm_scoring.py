@@ -206,7 +206,7 @@ def score_texts(docs: DataFrame, train: Column, block_bytes: int = BLOCK) -> Dat
     def score(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         model = BlockModel(key[0], texts, answers, n_blocks)
         octave, pair, word = model.parts(False)
-        x = weights[octave]
+        x = weights[octave] if model.n else np.tile([0.0, 0.0, 1.0], (len(octave), 1))
         logs = np.log10((x[:, 0] * pair + x[:, 1] * word + x[:, 2]) / (model.v + 1))
         count = model.of(1, False)
         base = np.log10((count + 1) / (model.n + (model.v + 1)))
