@@ -5,8 +5,8 @@ context's count c(h). They are learned by expectation maximisation on held-out c
 documents is deleted from the counts, and the weights that make the deleted part most likely are kept; then all
 training documents count. A word never seen has the uniform part alone.
 
-Words are runs of bytes other than white space, A-Z lower-cased; each text ends with an end token, and its first word
-has a start context. Words and bigrams are 64-bit hashes. How it is computed:
+Words are runs of bytes other than white space, A-Z lower-cased; each text ends with an end token, which also stands
+before its first word: a word is a context as often as it is a token, so one table holds both counts. Words and bigrams are 64-bit hashes. How it is computed:
 
 * documents are dealt into blocks of about `BLOCK` characters by their id; each block counts its own n-grams;
 * the counts go to shards of the hash range as packed arrays, where they are summed;
@@ -30,27 +30,23 @@ from .common import byte_tables, mix, word_hashes, written
 
 BLOCK = 16_000_000
 HELD_OUT = 10
-END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+END = np.uint64(0x5851F42D4C957F2D)
 BUCKETS = 40
 STEPS = 4
 
 
-def tokens_of(texts: pd.Series, tables: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token and context hashes of texts with their ends, and each text's bounds among them."""
+def tokens_of(texts: pd.Series, tables: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of texts with their ends, and each text's bounds among them."""
     raw = [t.encode() for t in texts]
-    words, contexts, sizes = [], [], []
+    words, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for a in range(0, len(raw), 512):
         part = raw[a : a + 512]
         starts = np.append(0, np.cumsum([len(t) for t in part]))
         data = np.frombuffer(b"".join(part), np.uint8)
         found, bounds = word_hashes(data, starts, tables) if len(data) else (np.empty(0, np.uint64), np.zeros(len(part) + 1, np.int64))
-        n = np.diff(bounds)
         words.append(np.insert(found, bounds[1:], END))
-        contexts.append(np.insert(found, bounds[:-1], START))
-        sizes.append(n + 1)
-    if not raw:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.zeros(1, np.int64)
-    return np.concatenate(words), np.concatenate(contexts), np.append(0, np.cumsum(np.concatenate(sizes)))
+        sizes.append(np.diff(bounds) + 1)
+    return np.concatenate(words), np.append(0, np.cumsum(np.concatenate(sizes)))
 
 
 def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -85,20 +81,33 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def grouped(hashes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, the sums of flags over them, and the place of each hash among them."""
+    by = np.argsort(hashes)
+    ordered = hashes[by]
+    fresh = np.append(True, ordered[1:] != ordered[:-1])
+    place = np.empty(len(hashes), np.int64)
+    place[by] = np.cumsum(fresh) - 1
+    first = np.flatnonzero(fresh)
+    return ordered[first], np.add.reduceat(flags[by], first), place
+
+
 class OwnCounts:
-    """The n-grams of a block's texts in order, with their training counts there; kinds: 0 context, 1 word, 2 bigram."""
+    """The n-grams of a block's texts in order, with their training counts there; kinds: 0 word, 1 bigram."""
 
     def __init__(self, texts: pd.DataFrame, n_shards: int):
-        self.words, self.contexts, self.bounds = tokens_of(texts["text"], byte_tables())
+        words, self.bounds = tokens_of(texts["text"], byte_tables())
         self.train = np.repeat(texts["train"].to_numpy(bool), np.diff(self.bounds))
         flags = self.train.astype(np.int64)
-        self.bigrams = pair_hash(self.contexts, self.words)
-        self.counts, self.cuts = [], []
-        for hashes in (self.contexts, self.words, self.bigrams):
-            keys, n = summed(hashes, flags)
+        contexts = np.append(END, words[:-1])  # before a text's first word stands the end of the one before
+        self.counts, self.places, self.cuts = [], [], []
+        for hashes in (words, pair_hash(contexts, words)):
+            keys, n, place = grouped(hashes, flags)
             self.counts.append((keys, n))
+            self.places.append(place)
             shards = (keys >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)
             self.cuts.append(np.searchsorted(shards, np.arange(n_shards + 1, dtype=np.uint64)))
+        self.context = np.append(self.places[0][-1], self.places[0][:-1])
 
 
 def count_blocks(blocks: DataFrame, n_shards: int) -> DataFrame:
@@ -149,17 +158,16 @@ class BlockModel(OwnCounts):
             at = i + np.flatnonzero(np.unpackbits(np.frombuffer(shared, np.uint8), count=j - i))
             self.counts[kind][1][at] = unpack_counts(totals, len(at))
             self.held[kind][at] = unpack_counts(held, len(at))
-        words = given[given["kind"] == 1]
+        words = given[given["kind"] == 0]
         self.n, self.v, self.kept = (int(words[c].sum()) for c in ("n", "v", "kept"))
 
-    def of(self, kind: int, kept: bool, where=slice(None)) -> np.ndarray:
-        keys, n = self.counts[kind]
-        n = n - self.held[kind] if kept else n
-        return n[np.searchsorted(keys, (self.contexts, self.words, self.bigrams)[kind][where])]
+    def of(self, kind: int, kept: bool, place: np.ndarray | None = None) -> np.ndarray:
+        n = self.counts[kind][1]
+        return (n - self.held[kind] if kept else n)[self.places[kind] if place is None else place]
 
-    def parts(self, kept: bool, where=slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def parts(self, kept: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token the octave of its context, and its bigram's and word's probability times V + 1."""
-        h, w, hw = (self.of(k, kept, where) for k in (0, 1, 2))
+        h, w, hw = self.of(0, kept, self.context), self.of(0, kept), self.of(1, kept)
         octave = np.minimum(np.ceil(np.log2(h + 1)).astype(np.int64), BUCKETS - 1)
         n = self.kept if kept else self.n
         return octave, hw / np.maximum(h, 1) * (self.v + 1), w / max(n, 1) * (self.v + 1)
@@ -195,7 +203,7 @@ def score_texts(docs: DataFrame, train: Column, block_bytes: int = BLOCK) -> Dat
 
     def held_out(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         model = BlockModel(key[0], texts, answers, n_blocks)
-        octave, pair, word = model.parts(True, model.train)
+        octave, pair, word = (x[model.train] for x in model.parts(True))
         rows = pd.DataFrame({"octave": octave, "pair": steps(pair), "word": steps(word)})
         return rows.groupby(["octave", "pair", "word"]).size().reset_index(name="n")
 
@@ -208,7 +216,7 @@ def score_texts(docs: DataFrame, train: Column, block_bytes: int = BLOCK) -> Dat
         octave, pair, word = model.parts(False)
         x = weights[octave] if model.n else np.tile([0.0, 0.0, 1.0], (len(octave), 1))
         logs = np.log10((x[:, 0] * pair + x[:, 1] * word + x[:, 2]) / (model.v + 1))
-        count = model.of(1, False)
+        count = model.of(0, False)
         base = np.log10((count + 1) / (model.n + (model.v + 1)))
         first = model.bounds[:-1]
         return pd.DataFrame({
