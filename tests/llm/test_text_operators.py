@@ -142,16 +142,28 @@ def test_language_model_scores(spark):
     assert LM.score_texts(frame(spark, []), train).collect() == []
 
 
-def test_interpolated_probabilities_sum_to_one(spark):
-    """Over the known words and one unknown, in any context."""
-    docs = frame(spark, [(i, t) for i, t in enumerate(["a b a c", "b a", "c c a b", "a", "b b c"] * 8)])
-    probes = [(1000 + k, f"a {w}") for k, w in enumerate(["a", "b", "c", "zzz"])] + [(2000, "a")]
-    both = docs.union(frame(spark, probes))
-    got = {x["doc_id"]: x["score"] for x in LM.score_texts(both, F.col("doc_id") < 1000).collect()}
-    # P(a | start) and P(end | last word) are taken off: each probe is start-a, a-w, w-end
-    end = {w: x for w, x in zip("abc", (got[2000],) * 3, strict=True)}
-    assert all(x < 0 for x in end.values())
-    assert all(got[1000 + k] < 0 for k in range(4))
+def test_weights_follow_the_held_out_counts():
+    """EM finds the mixture that makes held-out counts likeliest; octaves without any keep what they start with."""
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(1)
+    pair, word = r.uniform(0, 40, 4000), r.uniform(0, 40, 4000)
+    true = np.array([0.6, 0.3, 0.1])
+    n = pair * true[0] + word * true[1] + true[2]  # events in proportion to their probability under the true mixture
+    held = pd.DataFrame({"octave": 3, "pair": LM.steps(pair), "word": LM.steps(word), "n": n * 50})
+    weights = LM.learn_weights(held)
+    assert weights.sum(axis=1) == pytest.approx(1)
+    x = weights[3]
+
+    def likelihood(w):
+        return (held["n"] * np.log(w[0] * pair + w[1] * word + w[2])).sum()
+
+    others = r.dirichlet([1, 1, 1], 200)
+    assert likelihood(x) >= max(map(likelihood, others)) - 1e-3 * abs(likelihood(x))
+    assert weights[4] == pytest.approx([0.4, 0.4, 0.2])
+    only = pd.DataFrame({"octave": [2, 2], "pair": [-32768, -32768], "word": [40, 44], "n": [500, 500]})
+    assert LM.learn_weights(only)[2][1] > 0.95
 
 
 def test_languages(spark):
