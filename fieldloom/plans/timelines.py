@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import behaviour as B
 from ..operators import temporal as T
 from ..operators import tracking as TR
 from ..tables import events, table
@@ -151,8 +152,27 @@ def object_dynamics(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_id", F.round("ttc", 4).alias("ttc"), "risk")
 
 
+def signal_growth(spark: SparkSession, d: str) -> DataFrame:
+    found = B.growth(events(spark, d), "session_id", ORDER, "value")
+    return found.select("session_id", "n", F.round("growth", 6).alias("growth"))
+
+
+def static_dynamic(spark: SparkSession, d: str) -> DataFrame:
+    days = events(spark, d).withColumn("key", F.concat_ws("-", "session_id", F.floor(F.col("t") / (24 * HOUR))))
+    return B.motion(days, "key", F.col("value") < 15).groupBy("motion").agg(F.count(F.lit(1)).alias("n"))
+
+
+def zone_dwell(spark: SparkSession, d: str) -> DataFrame:
+    return B.dwells(events(spark, d), "session_id", "t", ORDER, F.col("value") < 25, 48 * HOUR)
+
+
+def lane_crossings(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).withColumn("offset", F.col("value") - 14)
+    return B.crossings(e, "session_id", ORDER, "offset", least=20.0).select("event_id", "session_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    state_segments, phase_transitions_invalid, flicker_aba, threshold_runs, moving_average_deficit, neighbour_median_sparsity, robust_z_anomalies,
+    signal_growth, static_dynamic, zone_dwell, lane_crossings, state_segments, phase_transitions_invalid, flicker_aba, threshold_runs, moving_average_deficit, neighbour_median_sparsity, robust_z_anomalies,
     ego_lag_features, gap_interpolation, majority_smoothing, nearest_event_asof, events_cooccur_overlap, sync_groups, health_trend,
     tumbling_windows, sliding_windows, session_windows, previous_next, topic_gaps, iou_tracks, track_trajectories, object_dynamics,
 )}
@@ -162,6 +182,18 @@ BOXES_SQL = f"""SELECT session_id, frame, 4.0::DOUBLE * frame + value / 10 AS x1
     FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, event_id) AS frame FROM ({EVENTS_SQL}))"""
 
 ORACLES = {
+    "signal_growth": f"""WITH r AS (SELECT session_id, value, row_number() OVER (PARTITION BY session_id ORDER BY t, event_id) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM ({EVENTS_SQL})),
+        m AS (SELECT session_id, max(n) AS n, median(value) FILTER (r <= greatest(1, n // 3)) AS a, median(value) FILTER (r > n - greatest(1, n // 3)) AS b FROM r GROUP BY 1)
+        SELECT session_id, n, round(CASE WHEN a > 0 THEN b / a END, 6) AS growth FROM m""",
+    "static_dynamic": f"""WITH k AS (SELECT session_id, t // 86400000000 AS day, min((value < 15)::INT) AS a, max((value < 15)::INT) AS b FROM ({EVENTS_SQL}) GROUP BY 1, 2)
+        SELECT CASE WHEN a = 1 THEN 'static' WHEN b = 0 THEN 'dynamic' ELSE 'mixed' END AS motion, count(*) AS n FROM k GROUP BY 1""",
+    "zone_dwell": f"""SELECT session_id, min(t) AS "start", max(t) AS "end" FROM (
+        SELECT *, sum(change) OVER (PARTITION BY session_id ORDER BY t, event_id) AS island FROM (
+            SELECT *, value < 25 AS hot, CASE WHEN (value < 25) = lag(value < 25) OVER (PARTITION BY session_id ORDER BY t, event_id) THEN 0 ELSE 1 END AS change FROM ({EVENTS_SQL})))
+        WHERE hot GROUP BY session_id, island HAVING max(t) - min(t) >= {48 * HOUR}""",
+    "lane_crossings": f"""WITH e AS (SELECT event_id, session_id, t, value - 14 AS o FROM ({EVENTS_SQL})),
+        w AS (SELECT *, sign(o) AS s, sign(lag(o) OVER w) AS p, lead(o, 1) OVER w AS a, lead(o, 2) OVER w AS b, lead(o, 3) OVER w AS c FROM e WINDOW w AS (PARTITION BY session_id ORDER BY t, event_id))
+        SELECT event_id, session_id FROM w WHERE p * s < 0 AND sign(a) = s AND sign(b) = s AND sign(c) = s AND greatest(abs(o), abs(a), abs(b), abs(c)) >= 20""",
     "state_segments": f"""SELECT session_id, island::BIGINT AS island, state, "start", "end", n FROM ({SEGMENTS_SQL})""",
     "phase_transitions_invalid": f"""SELECT state, next, count(*) AS n FROM (SELECT *, lead(state) OVER (PARTITION BY session_id ORDER BY island) AS next FROM ({SEGMENTS_SQL}))
         WHERE next IS NOT NULL AND state IN ('view', 'click', 'purchase', 'signup')
