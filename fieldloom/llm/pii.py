@@ -8,8 +8,8 @@ documents are then searched for each seed pattern, so that one that mostly stand
 Spark scores the graph of patterns and instances in rounds: a pattern's confidence for a kind is the share of its
 occurrences, smoothed, that hold instances of the kind, each weighed by its score; an instance's score is the chance
 that not all of its patterns err (seeds: 1). Patterns need `MIN_SEEDS` different instances and confidence
-`MIN_CONFIDENCE` to speak; those with fewer instances than `MIN_SHARE` of all seeds are chance and left out, which
-bounds how many there are, whatever the input. Candidates that score as much in the end are added, with the kind of the highest score.
+`MIN_CONFIDENCE` to speak; those around no candidate can add nothing and are not counted. Candidates that score as
+much in the end are added, with the kind of the highest score.
 
 Matches are leftmost and do not overlap within a kind; those that fail a kind's check are dropped without a retry.
 Positions are code points, ends exclusive. A null or empty text has no spans. Rows are searched one by one, repeated
@@ -44,7 +44,8 @@ LEAST = 6
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.5
 ROUNDS = 3
-MIN_SHARE = 0.001
+FILTER_BITS = 1 << 27  # at most; 16 for each pattern otherwise
+HELD = 1 << 20  # patterns whose counts a task holds before it hands them on
 
 
 def luhn(digits: str) -> bool:
@@ -158,15 +159,28 @@ def described(text: str, places: list[tuple[int, int, int]], tables: tuple) -> l
 def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, total): how often each seed pattern occurs in all documents, around one word of any kind.
 
-    There are at most 3 / MIN_SHARE patterns, so they are broadcast; a task counts each once.
+    A bitmap of fixed size, broadcast, lets occurrences of seed patterns through and few others; the join is exact.
+    A task adds up what it lets through, so it hands a pattern on once for each `HELD` different ones.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(patterns.toArrow().column("pattern").to_numpy().view(np.uint64)))
+    size = min(FILTER_BITS, 1 << max(16, int(16 * patterns.count()).bit_length()))
+    places = patterns.select(F.pmod("pattern", F.lit(size)).alias("at"))
+    bits = F.bit_or(F.expr("shiftleft(1, cast(at % 8 AS int))"))
+    found = places.groupBy(F.shiftright("at", 3).cast("int").alias("byte")).agg(bits.alias("bits")).toArrow()
+    bitmap = np.zeros(size // 8, np.uint8)
+    bitmap[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        tables, wanted = byte_tables(), shared.value
-        likely = np.zeros(1 << 16, bool)
-        likely[(wanted & np.uint64(0xFFFF)).astype(np.int64)] = True
-        totals = np.zeros(len(wanted), np.int64)
+        tables, bitmap = byte_tables(), shared.value
+        keys, counts, loose, n_loose = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["pattern", "n"])
+
+        def summed():
+            every, at = np.unique(np.concatenate([keys, *loose]), return_inverse=True)
+            return every, np.bincount(at, np.append(counts, np.ones(n_loose))).astype(np.int64)
+
         for batch in batches:
             for _, _, data, starts in text_chunks(batch.column("text")):
                 words, bounds = word_hashes(data, starts, tables)
@@ -175,22 +189,29 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                 own = np.arange(len(words)) + np.repeat(4 * np.arange(n) + 2, np.diff(bounds))
                 framed[own] = words
                 hashes = context_hashes(framed[own - 2], framed[own - 1], framed[own + 1], framed[own + 2]).ravel()
-                hashes = hashes[likely[(hashes & np.uint64(0xFFFF)).astype(np.int64)]]
-                if len(wanted) and len(hashes):
-                    at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                    totals += np.bincount(at[wanted[at] == hashes], minlength=len(wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(totals)], names=["pattern", "n"])
-
-    return docs.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+                at = hashes & np.uint64(8 * len(bitmap) - 1)
+                hit = (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                loose.append(hashes[hit.astype(bool)])
+                n_loose += len(loose[-1])
+                if n_loose >= HELD:
+                    keys, counts = summed()
+                    loose, n_loose = [], 0
+                if len(keys) >= HELD:
+                    yield table()
+                    keys, counts = keys[:0], counts[:0]
+        keys, counts = summed()
+        yield table()
+
+    counted = docs.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    return patterns.join(counted, "pattern", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def discover(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(instance, kind, score) of the candidates that confident patterns vouch for."""
     mentions = found.select(F.explode("mentions").alias("m")).select("m.kind", "m.instance", F.explode("m.patterns").alias("pattern"))
     edges = written(mentions.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")), "edges")
-    n_seeds = found.agg(F.sum(F.size("spans"))).first()[0] or 0
-    seeded = edges.where("kind >= 0").groupBy("pattern").agg(F.count_distinct("instance").alias("seeds"))
-    seeded = seeded.where(F.col("seeds") >= max(MIN_SEEDS, MIN_SHARE * n_seeds))
+    seeded = edges.groupBy("pattern").agg(F.count_distinct(F.when(F.col("kind") >= 0, F.col("instance"))).alias("seeds"), F.min("kind").alias("least"))
+    seeded = seeded.where((F.col("seeds") >= MIN_SEEDS) & (F.col("least") < 0))
     patterns = written(seeded.select("pattern"), "patterns")
     totals = pattern_totals(docs, patterns)
     inside = edges.join(patterns, "pattern", "left_semi")

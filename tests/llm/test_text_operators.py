@@ -214,3 +214,24 @@ def test_personal_data(spark):
     assert not any(got[i]["added"] for i in range(101, 105))
     assert all(len(got[i]["spans"]) == 1 for i in range(40))
     assert pii.find_personal_data(frame(spark, [])).collect() == []
+
+
+def test_a_context_among_many_other_seeds(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(words(r, 2) + [f"user{i}@mail.example.com"] + words(r, 2))) for i in range(51_000)]
+    rows += [(60_000 + i, f"lorem reach me at host{i}@mail.example.com now dolor") for i in range(10)]
+    rows += [(70_000, "lorem reach me at john(at)mail77 now dolor")]
+    rows += [(80_000 + i, "the same footer asks contact office@firm.example.com for more") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    added = {x["doc_id"]: [tuple(s) for s in x["added"]] for x in pii.find_personal_data(docs).collect() if x["added"]}
+    assert added == {70_000: [(0, 18, 32)]}
+
+
+def test_pattern_counts_that_are_handed_on_in_parts_add_up(spark, monkeypatch):
+    docs = frame(spark, [(i, "reach me at john now " * 3) for i in range(200)])
+    found = pii.search_texts(frame(spark, [(1, "reach me at a@b.example.com now reach")]))
+    patterns = found.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"))
+    want = sorted(map(tuple, pii.pattern_totals(docs, patterns).collect()))
+    monkeypatch.setattr(pii, "HELD", 1)
+    assert sorted(map(tuple, pii.pattern_totals(docs, patterns).collect())) == want
+    assert sorted(n for _, n in want) == [400, 600, 600]  # the last of three has no word after "now"
