@@ -86,6 +86,36 @@ def test_near_duplicates_of_a_large_group(spark):
     assert all(found[1000 + i] == 1000 + i for i in range(100))
 
 
+def classes(rows):
+    """doc_id -> smallest id of its class, by all pairs."""
+    label = {i: i for i, _ in rows}
+    for k, (i, x) in enumerate(rows):
+        for j, y in rows[:k]:
+            x_, y_ = x.split(), y.split()
+            n = max(len(x_), len(y_))
+            if n and edits(x_, y_) <= int(0.2 * n + 1e-9):
+                low, high = sorted((label[i], label[j]))
+                label = {d: low if c == high else c for d, c in label.items()}
+    return label
+
+
+def test_every_class_of_a_bucket_is_tried(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "sketches", lambda w, orders: near_dup.np.zeros(min(len(w), 1), near_dup.np.int64))
+    r = random.Random(11)
+    rows = []
+    for family in range(2):  # chains of drifting copies, their ids interleaved; a text is like its neighbours only
+        text = [f"f{family}w{k}" for k in range(30)]
+        for k in range(20):
+            rows.append((2 * k + family, " ".join(text)))
+            for at in r.sample(range(30), 5):
+                text[at] = f"f{family}c{k}at{at}"
+    rows += [(100 + k, " ".join(f"own{k}w{j}" for j in range(30))) for k in range(5)]
+    r.shuffle(rows)
+    want = classes(rows)
+    found = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == want and set(want.values()) == {0, 1, *range(100, 105)}
+
+
 def test_leaks(spark):
     r = random.Random(3)
     items = [(i, " ".join(words(r, n))) for i, n in enumerate((30, 12, 45, 5))] + [(8, None), (9, ""), (10, "too few words"), (0, "Repeated item, its id: also twice!")]
