@@ -116,6 +116,22 @@ def test_every_class_of_a_bucket_is_tried(spark, monkeypatch):
     assert found == want and set(want.values()) == {0, 1, *range(100, 105)}
 
 
+def test_short_texts_equal_brute_force(spark):
+    r = random.Random(12)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{k}" for k in range(r.randrange(1, 13))]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(r.randrange(4)):
+                at, kind = r.randrange(len(copy) + 1), r.randrange(3)
+                copy[at : at + (kind > 0)] = ["new"] if kind < 2 else []
+            if 0 < len(copy) <= 12:
+                rows.append((len(rows), " ".join(copy)))
+    found = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == classes(rows)
+
+
 def test_leaks(spark):
     r = random.Random(3)
     items = [(i, " ".join(words(r, n))) for i, n in enumerate((30, 12, 45, 5))] + [(8, None), (9, ""), (10, "too few words"), (0, "Repeated item, its id: also twice!")]
