@@ -16,9 +16,12 @@ from fieldloom.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language go on, labelled with the one found where they had no label; others go."""
+    """Documents whose text has a language go on, labelled with the one found where they had no label; others go.
+
+    A score of 0 means that no trigram is of any language, so what lang_pred names then is only the first of them.
+    """
     found = langid.identify(docs, langid.learn(docs), carry=("text", "lang", "source", "n_chars"))
-    found = found.where(F.col("lang_pred") != "und").withColumn("lang", F.coalesce("lang", "lang_pred"))
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).withColumn("lang", F.coalesce("lang", "lang_pred"))
     return found.select(*DOCUMENT_COLUMNS)
 
 

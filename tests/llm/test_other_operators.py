@@ -148,3 +148,13 @@ def test_pipeline_stages(spark):
     out = stage["near dedup"](spark, out, "")
     assert {x["doc_id"] for x in out.collect()} == {0, 1, 2, 3, 4, 10, 12}
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_language_stage_drops_texts_of_no_language(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"the quick brown fox number {i} jumps over the lazy dog", "en", "s", 1) for i in range(20)]
+    rows += [(50, "the lazy dog jumps", None, "s", 1), (51, "\u0436\u0449\u044f \u044e\u0444\u044d", None, "s", 1), (52, "12 34", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x["doc_id"]: x["lang"] for x in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {**{i: "en" for i in range(20)}, 50: "en"}
