@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -103,9 +103,16 @@ def value_score(spark: SparkSession, d: str) -> DataFrame:
     o = objects(spark, d).where("state <> 'A'")
     rare = o.groupBy("class_name").agg(F.count(F.lit(1)).alias("n_class"))
     o = o.join(F.broadcast(rare), "class_name")
-    everything = Window.partitionBy()
-    o = o.withColumn("u", S.band_uncertainty(F.col("conf"), 0.55, 0.92)).withColumn("r", 1 - F.col("n_class") / F.max("n_class").over(everything))
-    score = 0.40 * S.min_max(F.col("u"), everything) + 0.20 * S.min_max(F.col("r"), everything)
+    o = o.withColumn("u", S.band_uncertainty(F.col("conf"), 0.55, 0.92))
+    limits = o.agg(F.min("u").alias("u_lo"), F.max("u").alias("u_hi"), F.min("n_class").alias("n_lo"), F.max("n_class").alias("n_hi"))
+    rarity = {c: 1 - F.col(n) / F.col("n_hi") for c, n in (("r", "n_class"), ("r_lo", "n_hi"), ("r_hi", "n_lo"))}
+    o = o.crossJoin(F.broadcast(limits)).withColumns(rarity)  # one row
+
+    def scaled(c: str):
+        lo, hi = F.col(f"{c}_lo"), F.col(f"{c}_hi")
+        return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
+
+    score = 0.40 * scaled("u") + 0.20 * scaled("r")
     return o.withColumn("score", F.round(score, 5)).groupBy("class_name").agg(F.max("score").alias("best"), F.round(F.avg("score"), 4).alias("mean"))
 
 

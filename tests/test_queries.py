@@ -62,3 +62,10 @@ def test_plan_has_no_nested_loop(spark, name):
     plan = plans.QUERIES[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_value_score_keeps_its_rows_partitioned(spark):
+    from fieldloom.plans import evaluation
+
+    plan = evaluation.value_score(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
