@@ -10,9 +10,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -21,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a
+    temporary one; on a cluster that is an error, as each machine would write to its own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -61,7 +67,7 @@ def byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value[65:91] = value[97:123]
     space = np.zeros(256, bool)
     space[[32, 9, 10, 11, 12, 13]] = True
-    powers = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
+    powers = np.cumprod(np.full(LONG_WORD, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
     return value, space, powers
 
 
@@ -81,10 +87,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, tables: tuple) -> tuple[np
     begins = np.flatnonzero(first[at])
     lengths = np.diff(np.append(begins, len(at)))
     place = np.arange(len(at)) - np.repeat(begins, lengths)
-    if place.max() >= len(powers):  # powers repeat beyond the table; long words stay distinct by their bytes' order within it
-        place = np.where(place < len(powers), place, (place * 31) % len(powers))
-    h = np.add.reduceat(value[data[at]] * powers[place], begins)
+    h = np.add.reduceat(value[data[at]] * powers[np.minimum(place, len(powers) - 1)], begins)
     h = mix(h + lengths.astype(np.uint64))
+    for k in np.flatnonzero(lengths > len(powers)).tolist():
+        word = data[at[begins[k]] : at[begins[k]] + lengths[k]].tobytes()
+        h[k] = xxhash.xxh3_64_intdigest(word.lower(), seed=LONG_WORD)
     return h, np.searchsorted(at[begins], starts)
 
 
