@@ -33,9 +33,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays."""
+    """One document of each class stays. Rows with one doc_id are one document, the row of the largest text stays; rows
+    with a null doc_id can be no one's copy and all stay."""
     kept = near_dup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS)
+    rows = F.max_by(F.struct(*DOCUMENT_COLUMNS), near_dup.text_rank("text")).alias("row")
+    known = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(rows).select("row.*")
+    return known.unionByName(docs.where(F.col("doc_id").isNull()).select(*DOCUMENT_COLUMNS))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
