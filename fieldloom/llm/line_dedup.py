@@ -165,11 +165,13 @@ def changed_filters(filters: DataFrame, change: DataFrame, exact: DataFrame, n:
     return filters.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(update, "shard int, filter binary")
 
 
-def let_through(postings: DataFrame, filters: DataFrame, n: int, salts: int = 4) -> DataFrame:
-    """Postings whose key a filter may hold. Each shard's filter goes to several groups, so that a key with a large
-    share of all postings is dealt over them."""
-    salted = postings.withColumns({"shard": shard(n), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")})
-    spread = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def let_through(postings: DataFrame, filters: DataFrame, n: int, most: int = 250_000) -> DataFrame:
+    """Postings whose key a filter may hold. A shard with more than `most` postings is dealt over as many groups as
+    that takes, each with the shard's filter, so that a key with a large share of all postings fills none of them."""
+    postings = postings.withColumn("shard", shard(n))
+    groups = postings.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("groups"))
+    salted = postings.join(groups, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int")).drop("groups")
+    spread = filters.join(groups, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
 
     def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
