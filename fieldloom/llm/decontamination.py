@@ -4,9 +4,9 @@ A test item of n words may differ from a passage by e = floor(max_error * n) wor
 e + 1 pieces, so a passage within that budget holds at least one piece unchanged. Exact piece hits are found by
 rolling hashes of the document's words; each place they point to is verified by Myers' bit-parallel edit distance.
 
-Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. Items of fewer than
-`min_words` words say too little to be found and match nothing, as do null and empty items. Null and empty texts
-match nothing. Rows are judged one by one, repeated ids included; other columns are not looked at.
+Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. Items of fewer words than
+1 / max_error have no budget and match exact copies only. Null and empty items, and those without a word, match
+nothing; `min_words` can leave out items too short to tell. Null and empty texts match nothing. Rows are judged one by one, repeated ids included; other columns are not looked at.
 Items are broadcast in slices of at most `slice_bytes` of text, each matched in a pass of its own.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import byte_tables, schema_text, text_chunks, word_hashes
 
 MAX_ERROR = 0.2
-MIN_WORDS = 5
+MIN_WORDS = 1
 MULTIPLIER = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -75,7 +75,7 @@ class Items:
         for k, w in enumerate(self.words):
             e = int(max_error * len(w) + 1e-9)
             self.budgets.append(e)
-            if len(w) < min_words:
+            if len(w) < max(1, min_words):
                 continue
             size = len(w) // (e + 1)
             hashes = windows(w, size)
@@ -116,6 +116,8 @@ class Items:
                 distance, end = (0, begin + len(item) - a) if exact else myers(item.tolist(), words[a:b].tolist())
                 if distance <= e and (best is None or distance < best[1]):
                     best = a + end - low, distance
+                if distance == 0:  # nothing later is better
+                    break
             if best is not None:
                 out.append((d, k, *best))
         return out
