@@ -9,7 +9,8 @@ Spark scores the graph of patterns and instances in rounds: a pattern's confiden
 occurrences, smoothed, that hold instances of the kind, each weighed by its score; an instance's score is the chance
 that not all of its patterns err (seeds: 1). Patterns need `MIN_SEEDS` different instances and confidence
 `MIN_CONFIDENCE` to speak; those around no candidate can add nothing and are not counted. Candidates that score as
-much in the end are added, with the kind of the highest score.
+much make patterns of their own known in the next round, like seeds; those that do so in the last of `ROUNDS` are
+added, with the kind of the highest score.
 
 Matches are leftmost and do not overlap within a kind; those that fail a kind's check are dropped without a retry.
 Positions are code points, ends exclusive. A null or empty text has no spans. Rows are searched one by one, repeated
@@ -19,6 +20,8 @@ ids included. Other columns are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from .common import byte_tables, mix, text_chunks, word_hashes, written
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -68,13 +71,25 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def ips(text: str) -> list[tuple[int, int]]:
+    """As the expression of four dotted numbers finds them: by fours along each longest chain of dotted numbers."""
+    found = []
+    for chain in NUMBERS.finditer(text):
+        parts, at = chain[0].split("."), chain.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in four):
+                found.append((at, end))
+            at = end + 1
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), by kind and start."""
     out = [(0, a, b) for a, b in emails(text)]
     if DIGIT.search(text):
-        for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
-                out.append((1, *m.span()))
+        out += [(1, a, b) for a, b in ips(text)]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -87,6 +102,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Tokens that look like identifiers and touch no span."""
+    taken = sorted((a, b) for _, a, b in taken)
+    begins, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     out, last = [], 0
     for m in MARKED.finditer(text):
         if m.start() < last:
@@ -101,7 +118,8 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             start += 1
         while end > start and text[end - 1] in EDGES:
             end -= 1
-        if end - start >= LEAST and not any(a < end and start < b for _, a, b in taken):
+        before = bisect_left(begins, end)
+        if end - start >= LEAST and not (before and ends[before - 1] > start):
             out.append((start, end))
     return out
 
@@ -207,27 +225,41 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def discover(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(instance, kind, score) of the candidates that confident patterns vouch for."""
+    """(instance, kind) of the candidates that confident patterns vouch for.
+
+    In each round the patterns of seeds and of candidates believed so far are weighed; those that weren't yet are
+    counted in all documents by one more pass over them.
+    """
     mentions = found.select(F.explode("mentions").alias("m")).select("m.kind", "m.instance", F.explode("m.patterns").alias("pattern"))
     edges = written(mentions.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")), "edges")
-    seeded = edges.groupBy("pattern").agg(F.count_distinct(F.when(F.col("kind") >= 0, F.col("instance"))).alias("seeds"), F.min("kind").alias("least"))
-    seeded = seeded.where((F.col("seeds") >= MIN_SEEDS) & (F.col("least") < 0))
-    patterns = written(seeded.select("pattern"), "patterns")
-    totals = pattern_totals(docs, patterns)
-    inside = edges.join(patterns, "pattern", "left_semi")
-    own = inside.groupBy("pattern").agg(F.sum("n").alias("own"))
-    totals = totals.join(own, "pattern").select("pattern", F.greatest("total", "own").alias("total"))
-    edges = written(inside.join(totals, "pattern"), "seed-edges")
+    open_patterns = edges.where("kind < 0").select("pattern").distinct()
     seeds = edges.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-    scores = seeds
+    scores, counted, believed = seeds, None, None
     for k in range(ROUNDS):
-        known = edges.drop("kind").join(scores, "instance")
+        if believed is None:
+            holders = edges.where("kind >= 0").select("pattern", "instance")
+        else:
+            holders = edges.select("pattern", "instance").join(believed.unionByName(seeds.select("instance")).distinct(), "instance", "left_semi")
+        able = holders.groupBy("pattern").agg(F.count_distinct("instance").alias("held")).where(F.col("held") >= MIN_SEEDS).select("pattern")
+        able = able.join(open_patterns, "pattern", "left_semi")
+        fresh = written(able if counted is None else able.join(counted, "pattern", "left_anti"), "patterns")
+        if not fresh.isEmpty():
+            own = edges.join(fresh, "pattern", "left_semi").groupBy("pattern").agg(F.sum("n").alias("own"))
+            more = pattern_totals(docs, fresh).join(own, "pattern").select("pattern", F.greatest("total", "own").alias("total"))
+            counted = written(more if counted is None else counted.unionByName(more), "counted")
+        if counted is None:
+            break
+        inside = edges.join(counted, "pattern")
+        known = inside.drop("kind").join(scores, "instance")
         sure = known.groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("score")) / (F.max("total") + 1)).alias("confidence"), F.count_distinct("instance").alias("instances"))
         sure = sure.where((F.col("instances") >= MIN_SEEDS) & (F.col("confidence") >= MIN_CONFIDENCE))
-        reached = edges.where("kind < 0").select("pattern", "instance").join(sure, "pattern")
+        reached = inside.where("kind < 0").select("pattern", "instance").join(sure, "pattern")
         doubt = F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))
-        reached = reached.groupBy("instance", "kind").agg((1 - doubt).alias("score"))
-        scores = written(seeds.unionByName(reached), f"scores-{k}")
+        reached = written(reached.groupBy("instance", "kind").agg((1 - doubt).alias("score")), f"scores-{k}")
+        scores = seeds.unionByName(reached)
+        believed = reached.where(F.col("score") >= MIN_CONFIDENCE).select("instance")
+        if reached.isEmpty():
+            break
     best = scores.join(seeds, "instance", "left_anti").where(F.col("score") >= MIN_CONFIDENCE)
     return best.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
 
