@@ -3,9 +3,11 @@
 Given rules name a host (with all its subdomains) and a path prefix; the longest that fits a url decides. Urls that
 none fits go by mined rules: the url's tokens (labels of the host, segments of the path, names in the query) of
 labelled pages are transactions, together with the label itself. FP-growth finds the frequent combinations; of its
-association rules those that conclude the label stay if support and confidence suffice, and if no rule with a part of
-their tokens is as sure. A mined rule is found by an inverted index of its rarest token, then checked in full; the
-surest matching rule decides, then the better supported, then the first in the alphabet. With none, a url is allowed.
+association rules those that conclude the label stay if support and confidence suffice, if the confidence exceeds the
+label's share of all pages by a factor (`MIN_LIFT`) and by more than chance (`MIN_SURPRISE` standard deviations), and
+if no rule with a part of their tokens is as sure. A mined rule is found by an inverted index of its rarest token,
+then checked in full; the matching rule of the highest lift decides, then the surest, the better supported, the first
+in the alphabet. With none, a url is allowed.
 
 Everything is DataFrame work: no Python runs on executors. Verdicts are found once for each distinct url. A null url,
 or one without `://`, has an empty host and path. Labels with nulls, and pages without a label, teach nothing; of
@@ -23,7 +25,9 @@ from .common import written
 
 MIN_SUPPORT = 0.002
 MIN_PAGES = 5
-MIN_CONFIDENCE = 0.6
+MIN_CONFIDENCE = 0.5
+MIN_LIFT = 1.1
+MIN_SURPRISE = 4.0
 BLOCK, ALLOW = "=block", "=allow"
 
 
@@ -66,18 +70,25 @@ def given_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("url").agg(best).select("url", "best.rule", "best.action")
 
 
-def mined_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """(tokens, action, confidence, support) from (tokens, bad)."""
+def mined_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float = MIN_LIFT) -> DataFrame:
+    """(tokens, action, confidence, support, lift) from (tokens, bad)."""
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "tokens array<string>, action string, confidence double, support double")
-    n = labelled.count()
+    empty = spark.createDataFrame([], "tokens array<string>, action string, confidence double, support double, lift double")
+    n, n_bad = labelled.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if not n:
         return empty
     items = labelled.select(F.array_append("tokens", F.when(F.col("bad"), BLOCK).otherwise(ALLOW)).alias("items"))
-    model = FPGrowth(minSupport=min(1.0, max(min_support, MIN_PAGES / n)), minConfidence=min_confidence).fit(items)
-    found = model.associationRules.select("antecedent", F.col("consequent")[0].alias("label"), "confidence", "support")
-    found = found.where(F.col("label").isin(BLOCK, ALLOW) & ~F.array_contains("antecedent", BLOCK) & ~F.array_contains("antecedent", ALLOW))
-    rules = written(found.select(F.array_sort("antecedent").alias("tokens"), F.substring("label", 2, 9).alias("action"), "confidence", "support"), "mined-rules")
+    sets = FPGrowth(minSupport=min(1.0, max(min_support, MIN_PAGES / n))).fit(items).freqItemsets
+    label = F.when(F.array_contains("items", BLOCK), BLOCK).when(F.array_contains("items", ALLOW), ALLOW)
+    sets = written(sets.select(label.alias("label"), F.array_sort(F.array_except("items", F.array(F.lit(BLOCK), F.lit(ALLOW)))).alias("tokens"), "freq"), "frequent-sets")
+    whole = sets.where("label IS NULL").select("tokens", F.col("freq").alias("held"))
+    rules = sets.where(F.col("label").isNotNull() & (F.size("tokens") > 0)).join(whole, "tokens")
+    base = F.when(F.col("label") == BLOCK, F.lit(n_bad / n)).otherwise(F.lit(1 - n_bad / n))
+    rules = rules.withColumns({"confidence": F.col("freq") / F.col("held"), "base": base})
+    chance = F.sqrt(F.col("base") * (1 - F.col("base")) / F.col("held"))  # of the share among as many pages that the rule says nothing about
+    telling = (F.col("confidence") >= min_lift * F.col("base")) & (F.col("confidence") - F.col("base") >= MIN_SURPRISE * chance)
+    rules = rules.where((F.col("confidence") >= min_confidence) & telling)
+    rules = written(rules.select("tokens", F.substring("label", 2, 9).alias("action"), "confidence", (F.col("freq") / n).alias("support"), (F.col("confidence") / F.col("base")).alias("lift")), "mined-rules")
     # a rule with one token more must be surer than without it
     shorter = rules.select(F.col("tokens").alias("general"), F.col("confidence").alias("as_sure"), "action")
     less = rules.where(F.size("tokens") > 1).select("*", F.explode("tokens").alias("left_out"))
@@ -86,14 +97,15 @@ def mined_rules(labelled: DataFrame, min_support: float, min_confidence: float)
 
 
 def mined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, action) for urls that hold all tokens of a mined rule."""
+    """(url, action) for urls that hold all tokens of a mined rule; rules without a lift go by their confidence."""
+    rules = rules if "lift" in rules.columns else rules.withColumn("lift", F.lit(0.0))
     often = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     posted = rules.withColumn("rule_id", F.array_join("tokens", " ")).withColumn("token", F.explode("tokens")).join(often, "token")
     index = posted.groupBy("rule_id", "action").agg(
-        F.min_by("token", F.struct("n", "token")).alias("token"), F.first("tokens").alias("needed"), F.first("confidence").alias("confidence"), F.first("support").alias("support")
+        F.min_by("token", F.struct("n", "token")).alias("token"), F.first("tokens").alias("needed"), F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.first("lift").alias("lift")
     )
     hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
-    best = F.min(F.struct((-F.col("confidence")).alias("a"), (-F.col("support")).alias("b"), "rule_id", "action")).alias("best")
+    best = F.min(F.struct((-F.col("lift")).alias("a"), (-F.col("confidence")).alias("b"), (-F.col("support")).alias("c"), "rule_id", "action")).alias("best")
     return hits.groupBy("url").agg(best).select("url", F.col("best.action").alias("mined"))
 
 
