@@ -10,7 +10,8 @@ A language contains a trigram if the trigram makes up at least `MIN_RATE` of the
 bounds each filter to 1 / MIN_RATE trigrams, whatever the size of the training text. Counts cover all training text.
 
 Trigrams are of lower-cased letters, with one space for each run of other characters, and a letter in the middle.
-A null text, or one without a letter, is `und` with score 0, and so is every text if nothing was learned.
+A null text, or one without a letter, is `und` with score 0, and so is every text if nothing was learned. A text with
+letters of which no trigram is known has score 0 too, and the language that comes first in the alphabet.
 Ties go to the language that comes first in the alphabet. Rows are judged one by one, repeated ids included.
 """
 
@@ -20,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, schema_text, text_chunks
+from .common import mix, schema_text, text_chunks, written
 
 MIN_RATE = 1e-5
-SHARE = 0.5
+SHARE = 0.1
 HASHES = 3
 BITS_PER_GRAM = 16
 SPACE = 32
@@ -118,10 +119,11 @@ def hash_rows(n_rows: int, grams: np.ndarray):
 
 def learn(docs: DataFrame) -> LanguageFilters:
     """Filters from all rows with a text and a lang; the driver sees at most 1 / MIN_RATE trigrams a language."""
-    counts = trigram_counts(docs)
-    rated = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    most = F.max("rate").over(Window.partitionBy("gram"))
-    chosen = rated.where(F.col("rate") >= MIN_RATE).withColumn("most", most).where(F.col("rate") >= SHARE * F.col("most"))
+    counts = written(trigram_counts(docs), "trigrams")
+    sizes = counts.groupBy("lang").agg(F.sum("n").alias("size"))
+    rated = counts.join(sizes, "lang").withColumn("rate", F.col("n") / F.col("size")).where(F.col("rate") >= MIN_RATE)
+    most = rated.groupBy("gram").agg(F.max("rate").alias("most"))
+    chosen = rated.join(most, "gram").where(F.col("rate") >= SHARE * F.col("most"))
     found = chosen.select("lang", "gram").toPandas()
     languages = sorted(found["lang"].unique())
     largest = int(found.groupby("lang").size().max()) if languages else 1
