@@ -25,6 +25,7 @@ from .common import byte_tables, text_chunks, word_hashes, written
 SEQUENCE = 2048
 UNIT = 16
 HELD_STEMS = 100_000
+HELD_WORDS = 1_000_000
 
 
 class WordEncoder:
@@ -64,7 +65,12 @@ class WordEncoder:
         return self.whole.encode(word.decode(), add_special_tokens=False).ids
 
     def find(self, hashes: np.ndarray, spell) -> np.ndarray:
-        """Places of distinct words among the known; `spell` gives the bytes of those at some places of `hashes`."""
+        """Places of distinct words among the known; `spell` gives the bytes of those at some places of `hashes`.
+
+        Beyond `HELD_WORDS` words, or as many ids for each as a long word has, all known ones are forgotten first."""
+        if len(self.hashes) > HELD_WORDS or len(self.pool) > 16 * HELD_WORDS:
+            self.hashes, self.offsets, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+            self.pool = np.empty(0, np.uint32)
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
         new = np.flatnonzero(self.hashes[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
         if not len(new):
