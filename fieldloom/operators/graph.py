@@ -7,25 +7,33 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the folder that driver and executors share; our own where none is set."""
+    """Cuts the lineage by a checkpoint in the folder that driver and executors share. Where none is set, a local
+    master gets a temporary one; on a cluster that is an error, as each machine would write to its own disks."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
     """(id, label): for each end of an edge the smallest id it is connected with. Labels spread to neighbours and jump
-    to their label's label, so the rounds grow with the logarithm of the longest path."""
-    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct())
-    labels = cut(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("x")).alias("label")))
+    to their label's label, so the rounds grow with the logarithm of the longest path. `most` bounds the partitions of
+    what the rounds keep, for edges that are few."""
+
+    def kept(df: DataFrame) -> DataFrame:
+        return cut(df if most is None else df.coalesce(most))
+
+    both = kept(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct())
+    labels = kept(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("x")).alias("label")))
     while True:
         near = both.join(labels, F.col("y") == F.col("id")).groupBy("x").agg(F.min("label").alias("near"))
         spread = labels.join(near, F.col("id") == F.col("x")).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        moved = cut(spread.join(jump, "label").select("id", "old", F.least("label", "next").alias("label")))
+        moved = kept(spread.join(jump, "label").select("id", "old", F.least("label", "next").alias("label")))
         labels = moved.select("id", "label")
         if moved.where("old <> label").isEmpty():
             return labels
