@@ -12,8 +12,8 @@ from ..functions import geometry as G
 def iou_tracker(df: DataFrame, key: str, frame: str, least: float = 0.3, max_age: int = 5, min_length: int = 2) -> DataFrame:
     """Adds track_id within each key (camera): boxes join, frame by frame, the open track they overlap most.
 
-    Pairs are taken by falling IoU; a track ends after `max_age` frames without a box; short ones are dropped. The
-    state is sequential in time, so each camera is one group, ordered by frame.
+    Pairs are taken by falling IoU; a track ends after `max_age` of the camera's frames without a box of its own
+    (frames count as they come, whatever their values); short ones are dropped. The state is sequential in time, so each camera is one group, ordered by frame.
     """
 
     def overlap(a, b) -> float:
@@ -25,9 +25,10 @@ def iou_tracker(df: DataFrame, key: str, frame: str, least: float = 0.3, max_age
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([frame, "id"]).reset_index(drop=True)
         open_, tracks, n = {}, [0] * len(rows), 0
-        for t, part in rows.groupby(frame, sort=True):
+        corners = list(zip(*(rows[c].tolist() for c in ("x1", "y1", "x2", "y2")), strict=True))
+        for t, (_, part) in enumerate(rows.groupby(frame, sort=True)):
             open_ = {k: v for k, v in open_.items() if t - v[0] <= max_age}
-            boxes = {i: tuple(rows.loc[i, ["x1", "y1", "x2", "y2"]]) for i in part.index}
+            boxes = {i: corners[i] for i in part.index}
             pairs = sorted(((-overlap(v[1], b), k, i) for k, v in open_.items() for i, b in boxes.items()))
             used = set()
             for score, k, i in pairs:

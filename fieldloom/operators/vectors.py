@@ -126,7 +126,7 @@ def diverse(ranked: DataFrame, group: str, order: list[Column], k: int, above: f
 def farthest_points(df: DataFrame, k: int, unique: str = "vec_id", start: str = "central") -> list[int]:
     """k ids, each the farthest from those before: from the most central by cosine, or the farthest from the mean.
 
-    Each step is one pass over all vectors that updates a running distance; only the chosen vector moves.
+    Each step is one pass over all vectors, with their distances to all chosen so far; only the chosen vectors move.
     """
     from pyspark import StorageLevel
 

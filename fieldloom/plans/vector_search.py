@@ -76,13 +76,16 @@ def farthest_point_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pca_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Two coordinates of each vector, a stand-in for neighbour embeddings; signs are set by the first row's."""
+    """Two coordinates of each vector, a stand-in for neighbour embeddings; each component's largest
+    loading counts as positive."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = vectors(spark, d).select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    out = PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).withColumn("p", vector_to_array("p"))
-    return out.select("vec_id", "label", F.round(F.abs(F.col("p")[0]), 4).alias("x"), F.round(F.abs(F.col("p")[1]), 4).alias("y"))
+    model = PCA(k=2, inputCol="v", outputCol="p").fit(rows)
+    sign = [1.0 if max(column, key=abs) > 0 else -1.0 for column in model.pc.toArray().T.tolist()]
+    out = model.transform(rows).withColumn("p", vector_to_array("p"))
+    return out.select("vec_id", "label", *(F.round(F.col("p")[k] * sign[k], 4).alias(c) for k, c in enumerate("xy")))
 
 
 def exact_dup_documents(spark: SparkSession, d: str) -> DataFrame:
