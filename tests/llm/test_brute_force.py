@@ -235,6 +235,19 @@ def test_bags_bound_the_words_in_common():
         assert common <= near_dup.common_at_most(near_dup.bag_of(x), near_dup.bag_of(y))
 
 
+def test_an_edit_changes_two_bits_at_most():
+    r = np.random.default_rng(30)
+    for _ in range(500):
+        words = r.integers(0, int(r.integers(2, 400)), int(r.integers(0, 300))).tolist()
+        changed, edits = list(words), int(r.integers(0, 40))
+        for _ in range(edits):
+            at, kind = int(r.integers(0, len(changed) + 1)), int(r.integers(0, 3))
+            changed[at : at + (kind > 0)] = [int(r.integers(0, 400))] * (kind < 2)
+        x, y = (near_dup.bitmap_of(mix(np.array(t, np.uint64))) for t in (words, changed))
+        assert len(x) == near_dup.BITS // 64
+        assert np.unpackbits((x ^ y).view(np.uint8)).sum() <= 2 * edits
+
+
 COLUMNS = {
     "op1_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
     "op2_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
