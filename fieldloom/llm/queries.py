@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, line_dedup, lm_scoring, near_dup, pii, quality, topk_search, url_filter
+from . import decontamination, fingerprints, langid, line_dedup, lm_scoring, near_dup, pii, quality, topk_search, url_filter
 from .common import crc_mod, table
 from .packing import pack
 
@@ -80,6 +80,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_trial(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
+    "op12_fingerprints": op12_fingerprints,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": """
