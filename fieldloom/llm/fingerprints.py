@@ -114,7 +114,7 @@ class Digester:
         least, width = keys, 1
         while width < SPAN:
             step = min(width, SPAN - width)
-            least, width = np.minimum(least[: len(least) - step], least[step:]), width + step
+            least, width = np.minimum(least[: max(0, len(least) - step)], least[step:]), width + step
         least = least[valid_starts(data, starts, WINDOW + SPAN - 1)[: len(least)]]
         first = np.flatnonzero(np.append(True, least[1:] != least[:-1])) if len(least) else np.empty(0, np.int64)
         points = np.diff(np.append(first, len(least)))
