@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, langid, line_dedup, lm_scoring, near_dup, pii, quality, topk_search, url_filter
+from . import decontamination, fingerprints, langid, lexical, line_dedup, lm_scoring, near_dup, pii, quality, topk_search, url_filter
 from .common import crc_mod, table
 from .packing import pack
 
@@ -84,6 +84,10 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_trial(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
     "op12_fingerprints": op12_fingerprints,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": """
@@ -118,4 +123,19 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op13_lexical_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents),
+        tf AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS tf FROM t GROUP BY ALL),
+        d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+        c AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nt FROM d),
+        m AS (SELECT doc_id, 25 + (75 * n * nd) // nt AS m FROM d, c),
+        q AS (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+        p AS (SELECT item_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS r FROM q GROUP BY ALL),
+        g AS (SELECT w, floor(1000 * ln((2 * nd + 2) / (2 * df + 1)::DOUBLE))::BIGINT AS g
+              FROM (SELECT w, count(*) AS df FROM tf GROUP BY w), c),
+        s AS (SELECT item_id, doc_id, sum(r * g * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+              FROM p JOIN g USING (w) JOIN tf USING (w) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+    """,
 }
