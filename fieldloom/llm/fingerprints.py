@@ -279,7 +279,7 @@ def edit_trial(docs: DataFrame, ranks: list[int] | None = None) -> DataFrame:
         if ids:
             yield batch_of([(ids[-1], len(texts[-1]), None, as_text(prints[-1]), None, None, None, at, texts[-1] if head else None, texts[-1])])
 
-    found = written(rows.mapInArrow(run, f"{TRIAL}, range int, head string, tail string"), "trials")
+    found = written(rows.mapInArrow(run, f"{TRIAL}, range int, head string, tail string"), "trials", "zstd")
     ranges = sorted(r[0] for r in found.where(F.col("head").isNotNull()).select("range").collect())  # one for each task
     follows = spark.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1], strict=True)), "range int, follows int")
     ends = found.where(F.col("tail").isNotNull()).select("range", "doc_id", "tail", "fingerprint").join(F.broadcast(follows), "range")
