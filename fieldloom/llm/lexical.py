@@ -12,8 +12,9 @@ n a document's, df the documents that hold the term.
 3. In each shard the lists are cut into blocks of different lengths. Dynamic programming finds the cuts for which the
    blocks' maxima exceed their postings' scores by the least in total, each block costing `BLOCK_COST` mean scores.
 4. For each item the blocks' ends divide the shard's documents into ranges, over each of which the sum of the maxima of
-   the blocks there bounds every score. Ranges are taken by falling bound and only their blocks are read; the search
-   ends when no bound reaches the kth score so far. The shards' best meet in a window with a limit in front of it.
+   the blocks there bounds every score. Ranges are taken by falling bound and only their blocks are read; of the lists
+   that are too weak to reach the kth score so far, even together, only blocks that hold a document of the others. The
+   search ends when no bound reaches the kth score. The shards' best meet in a window with a limit in front of it.
 
 Results are exact. Terms are compared by 64-bit hashes: that any of T asked terms meets another of V corpus terms has a
 chance of about T * V / 2**64. Items go in slices of at most `slice_bytes` of text, each a pass over the documents, so
@@ -61,7 +62,7 @@ def terms_of(texts: list[str]) -> list[np.ndarray]:
 
 def posting_lists(docs: DataFrame, vocabulary: np.ndarray, shard_postings: int) -> DataFrame:
     """(shard, term, n, docs, counts, n_docs, n_terms): a list's documents (places in the shard) and counts as bytes, and
-    for each shard a row of term `DOCS` with its documents' ids and sizes, and how many have a term, and how many those are."""
+    for each shard a row of term `DOCS` with its documents' ids and sizes (below 0 where the id is null), and how many have a term, and how many those are."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     names = ["shard", "term", "n", "docs", "counts", "n_docs", "n_terms"]
 
@@ -96,12 +97,11 @@ def posting_lists(docs: DataFrame, vocabulary: np.ndarray, shard_postings: int)
                 n_docs, n_terms = n_docs + int((sizes > 0).sum()), n_terms + int(sizes.sum())
                 at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
                 asked = vocabulary[at] == h
-                asked &= np.repeat(valid[a:b], sizes)
                 doc = np.repeat(np.arange(b - a), sizes)[asked]
                 keys, counts = np.unique(doc * len(vocabulary) + at[asked], return_counts=True)
                 own = np.unique(keys // len(vocabulary))  # only documents with a posting have a place
                 place = n_places + np.searchsorted(own, keys // len(vocabulary))
-                for x, y in zip(held, (doc_ids[a:b][own], sizes[own], place * len(vocabulary) + keys % len(vocabulary), counts), strict=True):
+                for x, y in zip(held, (doc_ids[a:b][own], np.where(valid[a:b], sizes, -sizes)[own], place * len(vocabulary) + keys % len(vocabulary), counts), strict=True):
                     x.append(y)
                 n_held, n_places = n_held + len(keys), n_places + len(own)
                 if n_held >= shard_postings:
@@ -155,28 +155,42 @@ class Shard:
 
     def __init__(self, doc_ids, sizes, terms, places, counts, starts, weights, n_docs: int, n_terms: int):
         self.doc_ids, self.lists, self.places = doc_ids, {t: k for k, t in enumerate(terms.tolist())}, places
-        m = 25 + (75 * sizes.astype(np.int64) * n_docs) // n_terms
-        self.scores = np.repeat(weights[terms], np.diff(starts)) * ((1_000_000_000 * counts) // (1000 * counts + 8 * m[places]))
+        m = 25 + (75 * np.abs(sizes) * n_docs) // n_terms
+        self.scores = (sizes > 0)[places] * np.repeat(weights[terms], np.diff(starts)) * ((1_000_000_000 * counts) // (1000 * counts + 8 * m[places]))
         self.begin = block_starts(self.scores, starts)
         self.end = np.append(self.begin[1:], len(places))
         self.most = np.maximum.reduceat(self.scores, self.begin) if len(self.begin) else np.empty(0, np.int64)
         self.blocks = np.searchsorted(self.begin, starts)  # of each list
         self.read = 0  # postings, for measuring
 
+    def postings(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the blocks' postings in the lists, and how many each block has."""
+        sizes = (self.end - self.begin)[blocks]
+        at = np.repeat(self.begin[blocks] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        self.read += len(at)
+        return at, sizes
+
     def best(self, terms: np.ndarray, repeats: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(doc_ids, scores) of the k best for an item's terms."""
         lists = [(self.lists[t], r) for t, r in zip(terms.tolist(), repeats.tolist(), strict=True) if t in self.lists]
         if not lists:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         blocks = np.concatenate([np.arange(self.blocks[t], self.blocks[t + 1]) for t, _ in lists])
-        times = np.repeat([r for _, r in lists], [self.blocks[t + 1] - self.blocks[t] for t, _ in lists])
+        n_blocks = np.array([self.blocks[t + 1] - self.blocks[t] for t, _ in lists])
+        times = np.repeat([r for _, r in lists], n_blocks)
+        most = times * self.most[blocks]
         low, high = self.places[self.begin[blocks]], self.places[self.end[blocks] - 1] + 1
         edges, where = np.unique(np.concatenate([low, high]), return_inverse=True)
         change = np.zeros(len(edges), np.int64)
-        np.add.at(change, where, np.concatenate([times, -times]) * np.tile(self.most[blocks], 2))
+        np.add.at(change, where, np.concatenate([most, -most]))
         bounds = np.cumsum(change)[:-1]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
+        of_list = np.maximum.reduceat(most, np.cumsum(n_blocks) - n_blocks)
+        weakest = np.argsort(of_list, kind="stable")
+        together = np.empty(len(lists), np.int64)  # the most that a list and all weaker ones can give
+        together[weakest] = np.cumsum(of_list[weakest])
+        together = np.repeat(together, n_blocks)
         ids, scores, kth, done, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, 0, 16
         while done < len(order) and bounds[order[done]] >= max(kth, 1):
             part = order[done : done + step]
@@ -185,14 +199,21 @@ class Shard:
             wanted = np.zeros(len(edges) + 1, np.int64)  # ranges, then how many of them come before each edge
             wanted[part + 1] = 1
             upto = np.cumsum(wanted)
-            open_ = np.flatnonzero(upto[where[len(blocks) :]] > upto[where[: len(blocks)]])
-            sizes = (self.end - self.begin)[blocks[open_]]
-            at = np.repeat(self.begin[blocks[open_]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            self.read += len(at)
+            open_ = upto[where[len(blocks) :]] > upto[where[: len(blocks)]]
+            # documents of weak lists alone stay below the kth score: the others' lists name all that can matter
+            strong = np.flatnonzero(open_ & (together >= kth))
+            at, sizes = self.postings(blocks[strong])
             inside = wanted[np.searchsorted(edges, self.places[at], "right")] == 1
-            docs, where_doc = np.unique(self.places[at[inside]], return_inverse=True)
+            docs, to = np.unique(self.places[at[inside]], return_inverse=True)
             found = np.zeros(len(docs), np.int64)
-            np.add.at(found, where_doc, (self.scores[at] * np.repeat(times[open_], sizes))[inside])
+            np.add.at(found, to, (self.scores[at] * np.repeat(times[strong], sizes))[inside])
+            weak = np.flatnonzero(open_ & (together < kth))
+            weak = weak[np.searchsorted(docs, high[weak]) > np.searchsorted(docs, low[weak])]
+            if len(weak):
+                at, sizes = self.postings(blocks[weak])
+                to = np.minimum(np.searchsorted(docs, self.places[at]), len(docs) - 1)
+                same = docs[to] == self.places[at]
+                np.add.at(found, to[same], (self.scores[at] * np.repeat(times[weak], sizes))[same])
             docs, found = docs[found > 0], found[found > 0]
             ids, scores = np.append(ids, self.doc_ids[docs]), np.append(scores, found)
             top = np.lexsort((ids, -scores))[:k]
