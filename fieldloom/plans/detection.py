@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import confident
 from ..operators import detection as D
-from ..tables import table
+from ..operators import smoothing
+from ..tables import events, table
 
 
 def true_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -68,12 +70,27 @@ def track_safety(spark: SparkSession, d: str) -> DataFrame:
     return D.track_safety(g, D.associated(p, g))
 
 
+def smooth_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events are sightings of one box that moves right, shaken by their values; every third user's box jumps."""
+    e = events(spark, d).select("event_id", F.col("session_id").alias("track"), (F.col("t") / 1e6).alias("t"), F.col("value"))
+    x = (F.col("t") - 1_704_067_200) / 1000 + F.least("value", F.lit(60.0)) / 10 + F.when((F.col("track") % 3 == 0) & (F.col("event_id") % 2 == 0), 900).otherwise(0)
+    boxes = e.select("event_id", "track", "t", x.alias("x1"), (F.col("value") / 50).alias("y1"), (x + 40).alias("x2"), (F.col("value") / 50 + 30).alias("y2"))
+    found = smoothing.smooth_tracks(boxes)
+    return found.select("event_id", "track", *(F.round(c, 4).alias(c) for c in ("sx1", "sy1", "sx2", "sy2", "std")), "gated", "smoothed")
+
+
+def label_errors(spark: SparkSession, d: str) -> DataFrame:
+    return confident.label_errors(table(spark, d, "embeddings")).select("id", "given", "proposed", *(F.round(c, 4).alias(c) for c in ("score", "given_p", "proposed_p")))
+
+
 QUERIES = {
     "detection_outcomes": detection_outcomes,
     "detection_ap": detection_ap,
     "detection_report": detection_report,
     "tracking_report": tracking_report,
     "track_safety": track_safety,
+    "smooth_tracks": smooth_tracks,
+    "label_errors": label_errors,
 }
 
 #: Truth and predictions, pairs, and the greedy pass as a recursion: each step takes a frame's next prediction (or pair).
