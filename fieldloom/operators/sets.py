@@ -88,16 +88,23 @@ def leaking(df: DataFrame, group: str, split: str) -> DataFrame:
     return df.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")
 
 
+def unambiguous(columns: list[str]) -> Column:
+    """The values of a row as one text that no other row has: each with its length before it, nulls as a mark."""
+    text = [F.col(f"`{c}`").cast("string") for c in columns]
+    return F.concat(*(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text))
+
+
 def fingerprint(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
     """A seal of a set of rows that does not depend on their order: SHA-256 over their sorted SHA-256 hashes.
 
-    Hashes are sorted and folded within 4096 buckets of their first digits, then the buckets' hashes are, so no group
-    holds more than its share of the rows.
+    Different sets have different seals: values carry their lengths, and null is not the empty text. Equal rows count as
+    often as they are there. Hashes are counted first, then sorted and folded within 4096 buckets of their first digits,
+    then the buckets' hashes are, so no group holds more than its share of the different rows.
     """
-    row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256).alias("h")
-    hashes = df.select(*by, row).withColumn("bucket", F.substring("h", 1, 3))
-    fold = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
-    buckets = hashes.groupBy(*by, "bucket").agg(fold.alias("h"), F.count(F.lit(1)).alias("n"))
+    hashes = df.select(*by, F.sha2(unambiguous(columns), 256).alias("h")).groupBy(*by, "h").agg(F.count(F.lit(1)).alias("n"))
+    hashes = hashes.withColumns({"bucket": F.substring("h", 1, 3), "h": F.concat("h", F.lit("x"), F.col("n").cast("string"))})
+    fold = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256)
+    buckets = hashes.groupBy(*by, "bucket").agg(fold.alias("h"), F.sum("n").alias("n"))
     total = F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256), 1, 16)
     return buckets.groupBy(*by).agg(total.alias("seal"), F.sum("n").alias("n"))
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as GR
+from ..operators import history as H
 from ..operators import predicate as P
 from ..operators import sets
-from ..sources import lake
+from ..sources import export, lake
 from ..tables import events, frames, objects, sessions, table
 from .selection import OBJECTS_SQL
 from .timelines import EVENTS_SQL
@@ -145,13 +146,111 @@ def incident_dedup(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("session_id", "kind", "incident").agg(F.min("t").alias("first"), F.count(F.lit(1)).alias("evidence")).drop("incident")
 
 
+def three_states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A base of parts, and two branches: one reprices and drops small ones, the other renames, drops cheap ones and adds."""
+    base = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+    ours = base.where("p_size > 3").withColumn("p_retailprice", F.when(F.col("p_size") > 30, F.col("p_retailprice") + 10).otherwise(F.col("p_retailprice")))
+    theirs = base.where("p_retailprice > 950").withColumn("p_brand", F.when(F.col("p_size") > 40, "Brand#0").otherwise(F.col("p_brand")))
+    added = base.where("p_size = 1").withColumn("p_partkey", -F.col("p_partkey") - 1)
+    return base, ours, theirs.unionByName(added)
+
+
+def merge_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    found = H.merged(*three_states(spark, d), "p_partkey")
+    return found.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"), F.count("result").alias("left"), F.round(F.sum("result.p_retailprice"), 2).alias("price"))
+
+
+def merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    found = H.merged(*three_states(spark, d), "p_partkey").where("outcome = 'conflict'")
+    return found.select("p_partkey", F.col("ours.p_retailprice").alias("our_price"), F.col("theirs.p_brand").alias("their_brand"))
+
+
+def revert_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A merge is applied, some rows are edited after it, and the merge is taken back: edited rows stay."""
+    base, ours, theirs = three_states(spark, d)
+    merge = H.restored(H.merged(base, ours, theirs, "p_partkey"), "p_partkey", "result", ours.columns)
+    log = H.changes(ours, merge, "p_partkey")
+    edited = merge.withColumn("p_size", F.when((F.col("p_size") == 1) & (F.col("p_partkey") % 2 == 0), 2).otherwise(F.col("p_size")))
+    back, outcomes = H.reverted(edited, log, "p_partkey")
+    seal = sets.fingerprint(back.withColumn("p_retailprice", F.round(F.col("p_retailprice") * 100).cast("long")), ["p_partkey", "p_brand", "p_type", "p_size", "p_retailprice"]).select("seal", F.col("n").alias("rows"))
+    return outcomes.groupBy("op", "outcome").agg(F.count(F.lit(1)).alias("n")).crossJoin(seal)  # one row
+
+
+def vocabulary_log(spark: SparkSession, d: str) -> DataFrame:
+    """Brands merged, renamed and retired, as a log of what changed."""
+    base = three_states(spark, d)[0]
+    _, log = H.recoded(base, "p_partkey", "p_brand", {"Brand#11": "Brand#12", "Brand#21": "Brand#99", "Brand#33": None})
+    return log.select("p_partkey", "op", F.col("before.p_brand").alias("was"), F.col("after.p_brand").alias("now"))
+
+
+def lake_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, ids and nulls of the three published tables, each under its declared schema."""
+    o = objects(spark, d).join(frames(spark, d), "frame_id").join(sessions(spark, d), "session_id")
+    keyed = o.withColumn("object_id", F.concat_ws("-", "frame_id", "number", "class_id", "track_id"))
+    e = events(spark, d)
+    reviews = e.where("kind IN ('click', 'purchase')").select(F.col("event_id").alias("review_id"), F.col("session_id").alias("reviewer"), F.col("kind").alias("action"), (F.col("t") * 1000).alias("ts_ns"), F.col("value").alias("time_spent_ms"), F.lit("review").alias("before_state"), F.when(F.col("kind") == "click", "accepted").alias("after_state"))
+    quality = keyed.groupBy("object_id").agg(F.avg("conf").alias("quality"), F.collect_set(F.when(F.col("state") == "R", "returned")).alias("flags"))
+    out = None
+    for name, df in (("labels", keyed.withColumns({"vehicle_id": F.col("vehicle"), "bbox_x1": F.lit(0.0), "bbox_x2": F.col("width"), "bbox_y1": F.lit(0.0), "bbox_y2": F.col("height")})), ("provenance", reviews), ("quality", quality)):
+        table_of = lake.conform(df, lake.TABLES[name])
+        first = table_of.columns[0]
+        rest = F.sum(sum((F.col(c).isNull().cast("long") for c in table_of.columns), F.lit(0).cast("long")))
+        row = table_of.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(first).alias("ids"), rest.alias("nulls")).select(F.lit(name).alias("name"), F.lit(len(table_of.columns)).alias("columns"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def export_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the full records of accepted objects: how many each holds, and how many record columns are set."""
+    o = objects(spark, d).where("state = 'A'").join(frames(spark, d), "frame_id").join(sessions(spark, d), "session_id")
+    rows = export.records(o.select(
+        F.concat_ws("-", "frame_id", "number", "class_id", "track_id").alias("object_id"), "frame_id", "session_id", "track_id", "class_id", "class_name", "conf", "state", "source", "city",
+        F.col("vehicle").alias("vehicle_id"), F.col("quality").alias("quality_score"), F.struct("scene").alias("attrs"), F.col("height").alias("bbox_y2"), F.col("width").alias("bbox_x2"),
+    ))
+    chunk = F.pmod(F.col("frame_id").cast("long"), F.lit(16))
+    some = sets.fingerprint(rows.withColumn("chunk", chunk), ["object_id", "frame_id", "session_id", "class_id", "class_name", "state", "split"], "chunk")
+    return some.select("chunk", "n", F.col("seal").alias("digest"))
+
+
 QUERIES = {f.__name__: f for f in (
-    commit_diff, class_delta, union_candidates, intersect_except, reconcile_actions, upsert_latest, bulk_tags, split_assign, split_leakage, split_shares,
+    merge_outcomes, merge_conflicts, revert_merge, vocabulary_log, lake_tables, export_digests, commit_diff, class_delta, union_candidates, intersect_except, reconcile_actions, upsert_latest, bulk_tags, split_assign, split_leakage, split_shares,
     seal_fingerprint, lineage_walk, lineage_recursive, lake_labels, shard_index, export_records, training_set, latest_per_session, retention_erase,
     unsupported_terms, incident_dedup,
 )}
 
+STATES_SQL = """b AS (SELECT p_partkey AS k, p_brand, p_type, p_size, p_retailprice FROM part),
+    o AS (SELECT k, p_brand, p_type, p_size, p_retailprice + CASE WHEN p_size > 30 THEN 10 ELSE 0 END AS p_retailprice FROM b WHERE p_size > 3),
+    t AS (SELECT k, CASE WHEN p_size > 40 THEN 'Brand#0' ELSE p_brand END AS p_brand, p_type, p_size, p_retailprice FROM b WHERE p_retailprice > 950
+          UNION ALL SELECT -k - 1, p_brand, p_type, p_size, p_retailprice FROM b WHERE p_size = 1),
+    m AS (SELECT coalesce(b.k, o.k, t.k) AS k, CASE WHEN b.k IS NOT NULL THEN b END AS b, CASE WHEN o.k IS NOT NULL THEN o END AS o, CASE WHEN t.k IS NOT NULL THEN t END AS t
+          FROM b FULL JOIN o ON b.k = o.k FULL JOIN t ON t.k = coalesce(b.k, o.k)),
+    x AS (SELECT *, CASE WHEN o IS NOT DISTINCT FROM b AND t IS NOT DISTINCT FROM b THEN 'kept' WHEN t IS NOT DISTINCT FROM b THEN 'ours' WHEN o IS NOT DISTINCT FROM b THEN 'theirs'
+                         WHEN o IS NOT DISTINCT FROM t THEN 'both' ELSE 'conflict' END AS outcome FROM m),
+    r AS (SELECT *, CASE WHEN outcome = 'theirs' THEN t ELSE o END AS r FROM x)"""
 ORACLES = {
+    "merge_outcomes": f"WITH {STATES_SQL} SELECT outcome, count(*) AS n, sum(k)::BIGINT AS keys, count(r) AS \"left\", round(sum(r.p_retailprice), 2) AS price FROM r GROUP BY 1",
+    "merge_conflicts": f"WITH {STATES_SQL} SELECT k AS p_partkey, o.p_retailprice AS our_price, t.p_brand AS their_brand FROM r WHERE outcome = 'conflict'",
+    "revert_merge": f"""WITH {STATES_SQL}, l AS (SELECT k, o, r, CASE WHEN o IS NULL THEN 'insert' WHEN r IS NULL THEN 'delete' ELSE 'update' END AS op FROM r WHERE o IS DISTINCT FROM r),
+        c AS (SELECT op, CASE WHEN r.p_size = 1 AND k % 2 = 0 THEN 'skipped' ELSE 'reverted' END AS outcome, count(*) AS n FROM l GROUP BY 1, 2),
+        s AS (SELECT k, CASE WHEN r.p_size = 1 AND k % 2 = 0 THEN r ELSE o END AS v, CASE WHEN r.p_size = 1 AND k % 2 = 0 THEN 2 ELSE o.p_size END::VARCHAR AS size FROM r),
+        z AS (SELECT k::VARCHAR AS k, v.p_brand AS a, v.p_type AS b, size, round(v.p_retailprice * 100)::BIGINT::VARCHAR AS p FROM s WHERE v IS NOT NULL),
+        h AS (SELECT sha256(length(k) || ':' || k || length(a) || ':' || a || length(b) || ':' || b || length(size) || ':' || size || length(p) || ':' || p) AS h FROM z),
+        g AS (SELECT h[1:3] AS bucket, h || 'x' || count(*) AS h, count(*) AS n FROM h GROUP BY h.h),
+        f AS (SELECT bucket, sha256(string_agg(h, ',' ORDER BY h)) AS h, sum(n) AS n FROM g GROUP BY 1)
+        SELECT c.*, sha256((SELECT string_agg(h, '' ORDER BY h) FROM f))[1:16] AS seal, (SELECT sum(n)::BIGINT FROM f) AS rows FROM c""",
+    "vocabulary_log": """SELECT p_partkey, 'update' AS op, p_brand AS was, CASE p_brand WHEN 'Brand#11' THEN 'Brand#12' WHEN 'Brand#21' THEN 'Brand#99' END AS now
+        FROM part WHERE p_brand IN ('Brand#11', 'Brand#21', 'Brand#33')""",
+    "lake_tables": f"""WITH o AS (SELECT *, frame_id || '-' || number || '-' || class_id || '-' || track_id AS object_id FROM ({OBJECTS_SQL})),
+        e AS (SELECT * FROM ({EVENTS_SQL}) WHERE kind IN ('click', 'purchase'))
+        SELECT 'labels' AS name, 18 AS columns, count(*) AS n, count(DISTINCT object_id) AS ids, 3 * count(*) AS nulls FROM o
+        UNION ALL SELECT 'provenance', 11, count(*), count(DISTINCT event_id), 4 * count(*) + count(*) FILTER (kind = 'purchase') FROM e
+        UNION ALL SELECT 'quality', 5, count(DISTINCT object_id), count(DISTINCT object_id), 2 * count(DISTINCT object_id) FROM o""",
+    "export_digests": f"""WITH r AS (SELECT frame_id % 16 AS chunk, [frame_id || '-' || number || '-' || class_id || '-' || track_id, frame_id::VARCHAR, o_custkey::VARCHAR, class_id::VARCHAR, class_name, state, 'train'] AS v
+              FROM ({OBJECTS_SQL}) x JOIN orders ON o_orderkey = frame_id WHERE state = 'A'),
+        h AS (SELECT chunk, sha256(array_to_string(list_transform(v, lambda x: length(x) || ':' || x), '')) AS h FROM r),
+        g AS (SELECT chunk, h[1:3] AS bucket, h || 'x' || count(*) AS h, count(*) AS n FROM h GROUP BY chunk, h.h),
+        f AS (SELECT chunk, bucket, sha256(string_agg(h, ',' ORDER BY h)) AS h, sum(n) AS n FROM g GROUP BY 1, 2)
+        SELECT chunk, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY h))[1:16] AS digest FROM f GROUP BY 1""",
     "commit_diff": f"""WITH o AS ({OBJECTS_SQL}), a AS (SELECT DISTINCT frame_id FROM o WHERE conf >= 0.8 AND state <> 'R'), b AS (SELECT DISTINCT frame_id FROM o WHERE conf >= 0.85)
         SELECT CASE WHEN a.frame_id IS NULL THEN 'added' WHEN b.frame_id IS NULL THEN 'removed' ELSE 'kept' END AS change, count(*) AS n FROM a FULL JOIN b ON a.frame_id = b.frame_id GROUP BY 1""",
     "class_delta": f"""WITH c AS (SELECT class_name, count(*) FILTER (conf >= 0.8) AS n_a, count(*) FILTER (conf >= 0.5 AND state = 'A') AS n_b FROM ({OBJECTS_SQL}) GROUP BY 1)
@@ -168,8 +267,9 @@ ORACLES = {
     "bulk_tags": """SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct([p_type, p_brand, 'checked', 'new']), lambda x: x NOT IN ('Brand#11', 'Brand#12'))), ',') AS tags FROM part""",
     "split_leakage": """SELECT o_custkey AS session_id, count(DISTINCT CASE WHEN o_orderkey % 10 < 8 THEN 'train' ELSE 'val' END) AS splits FROM orders GROUP BY 1 HAVING splits > 1""",
     "split_shares": """SELECT DISTINCT o_custkey AS session_id, round(('0x' || sha256('0:' || o_custkey::VARCHAR)[1:16])::UBIGINT::DOUBLE / 18446744073709551616::DOUBLE, 9) AS share FROM orders""",
-    "seal_fingerprint": """WITH h AS (SELECT lang, sha256(doc_id::VARCHAR || '|' || coalesce(lang, '') || '|' || coalesce(text, '')) AS h FROM documents),
-        b AS (SELECT lang, h[1:3] AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1, 2)
+    "seal_fingerprint": """WITH h AS (SELECT lang, sha256(length(doc_id::VARCHAR) || ':' || doc_id || coalesce(length(lang) || ':' || lang, '-') || coalesce(length(text) || ':' || text, '-')) AS h FROM documents),
+        c AS (SELECT lang, h[1:3] AS bucket, h || 'x' || count(*) AS h, count(*) AS n FROM h GROUP BY lang, h.h),
+        b AS (SELECT lang, bucket, sha256(string_agg(h, ',' ORDER BY h)) AS h, sum(n) AS n FROM c GROUP BY 1, 2)
         SELECT lang, sha256(string_agg(h, '' ORDER BY h))[1:16] AS seal, sum(n)::BIGINT AS n FROM b GROUP BY 1""",
     "lineage_walk": """WITH o AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 5)
         SELECT DISTINCT 'c' || o_custkey AS id, 1::BIGINT AS depth FROM o UNION SELECT 'n' || c_nationkey, 2 FROM o JOIN customer ON c_custkey = o_custkey

@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Declared, never inferred: a column that is null throughout keeps its type.
-LABELS = T.StructType([
-    T.StructField("frame_id", T.LongType()), T.StructField("session_id", T.LongType()), T.StructField("class_id", T.LongType()),
-    T.StructField("class_name", T.StringType()), T.StructField("l1", T.StringType()), T.StructField("conf", T.DoubleType()),
-    T.StructField("state", T.StringType()), T.StructField("source", T.StringType()), T.StructField("track_id", T.LongType()),
-    T.StructField("flags", T.ArrayType(T.StringType())),
-])
+KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def declared(columns: str) -> T.StructType:
+    """A schema from `name type, ...`, without a session."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+# The published tables. Declared, never inferred: a column that is null throughout keeps its type.
+TABLES = {
+    "labels": declared("""object_id string, frame_id string, session_id string, track_id string, class_id int, class_name string,
+        state string, source string, conf double, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double,
+        city string, vehicle_id string, cam_id string, ts_ns bigint, version int"""),
+    "provenance": declared("""review_id string, object_id string, reviewer string, user_id string, action string,
+        before_state string, after_state string, before_class_id int, after_class_id int, time_spent_ms int, ts_ns bigint"""),
+    "quality": declared("object_id string, quality double, agreement double, audit_verdict string, flags array<string>"),
+}
+LABELS = TABLES["labels"]
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -22,7 +33,17 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def labels(objects: DataFrame, frames: DataFrame) -> DataFrame:
-    return conform(objects.join(frames.select("frame_id", "session_id"), "frame_id"), LABELS)
+    """`objects` with their frames' sessions and what else the frames have of the published columns."""
+    known = [c for c in LABELS.names if c in frames.columns and c not in objects.columns and c != "frame_id"]
+    return conform(objects.join(frames.select("frame_id", *known), "frame_id"), LABELS)
+
+
+def publish_all(tables: dict[str, DataFrame], root: str) -> None:
+    """A snapshot of the annotation plane: each table under its declared schema; an unknown name is refused first."""
+    if unknown := sorted(set(tables) - set(TABLES)):
+        raise ValueError(f"no such tables: {', '.join(unknown)}")
+    for name, df in tables.items():
+        publish(df, f"{root}/{name}", TABLES[name])
 
 
 def publish(df: DataFrame, path: str, schema: T.StructType, partition: str | None = None) -> None:
