@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def commit_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, change) with added, removed or kept."""
@@ -54,34 +55,54 @@ def hash_share(seed: str, group: str) -> Column:
     return F.conv(head, 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
 
 
-def assign_splits(df: DataFrame, group: str, val: float, test: float, seed: str = "0", slack: float = 1.25) -> DataFrame:
-    """(group, n, split): whole groups, in hash order, fill val, then test; the rest is train.
+def assign_splits(df: DataFrame, group: str, val: float, test: float, seed: str = "0", slack: float = 1.25, parts: int = 4096) -> DataFrame:
+    """(group, n, split): whole groups, in the order of their hashes, fill val, then test; the rest is train.
 
-    A group enters a split whose remaining room, with some slack, holds it. A wanted split that got none is given the
-    smallest group of train. Groups are one row each; filling a budget in order is sequential, so it runs in one task.
-    """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("share", hash_share(seed, group))
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["share", group]).reset_index(drop=True)
-        total = rows["n"].sum()
-        rows["split"] = "train"
-        wanted = [(name, part) for name, part in (("val", val), ("test", test)) if part > 0]
-        room = {name: part * total for name, part in wanted}
-        for k, n in enumerate(rows["n"]):
-            for name, _ in wanted:
-                if room[name] > 0 and n <= room[name] * slack:
-                    room[name] -= n
-                    rows.loc[k, "split"] = name
-                    break
-        for name, _ in wanted:
-            train = rows[rows["split"] == "train"]
-            if not (rows["split"] == name).any() and len(train) > 1:
-                rows.loc[train["n"].idxmin(), "split"] = name
-        return rows[[group, "n", "split"]]
+    A group enters the first split whose room is left and, with some slack, holds it. A wanted split that got none is
+    given the smallest group of train (the first of equal ones), if train has another.
 
+    Groups are summed up in `parts` ranges of their hashes. A range goes whole where its sums show what each of its groups
+    would get; the few in which a budget ends are walked group by group, on the driver, one range at a time."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("share", hash_share(seed, group))
+    sizes = cut(sizes.withColumn("part", F.floor(F.col("share") * parts).cast("int")))
+    sums = sizes.groupBy("part").agg(F.sum("n").alias("sum"), F.min("n").alias("min"), F.max("n").alias("max")).orderBy("part").collect()
+    total = sum(r["sum"] for r in sums)
+    room = {name: share * total for name, share in (("val", val), ("test", test)) if share > 0}
+    whole, single, got = {}, {}, set()
+    for r in sums:
+        told = None
+        for name, left in room.items():
+            if left > 0 and r["min"] <= left * slack:  # some may enter
+                if left - r["sum"] > 0 and r["max"] <= (left - r["sum"] + r["max"]) * slack:  # all do
+                    told = name
+                else:
+                    told = "mixed"
+                break
+        if told == "mixed":
+            for g in sizes.where(F.col("part") == r["part"]).orderBy("share", group).collect():
+                name = next((x for x, left in room.items() if left > 0 and g["n"] <= left * slack), "train")
+                single[g[group]] = name
+                if name in room:
+                    room[name] -= g["n"]
+                    got.add(name)
+        elif told:
+            whole[r["part"]] = told
+            room[told] -= r["sum"]
+            got.add(told)
+    spark = df.sparkSession
+    ranges = spark.createDataFrame(list(whole.items()), "part int, whole string")
     kind = df.schema[group].dataType.simpleString()
-    return sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda rows: fill(rows), f"{group} {kind}, n long, split string")
+    named = lambda rows: spark.createDataFrame(list(rows.items()), f"`{group}` {kind}, single string")
+    out = cut(sizes.join(F.broadcast(ranges), "part", "left").join(named(single), group, "left").select(group, "n", "share", F.coalesce("single", "whole", F.lit("train")).alias("split")))
+    given = {}
+    for name in (x for x in room if x not in got):
+        free = out.where((F.col("split") == "train") & ~F.col(group).isin(list(given))) if given else out.where("split = 'train'")
+        few = free.orderBy("n", "share", group).limit(2).collect()
+        if len(few) > 1:
+            given[few[0][group]] = name
+    if given:
+        out = out.join(named(given), group, "left").withColumn("split", F.coalesce("single", "split"))
+    return out.select(group, "n", "split")
 
 
 def leaking(df: DataFrame, group: str, split: str) -> DataFrame:

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import density
+from .graph import cut
+
 
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -36,44 +39,56 @@ def fused_top_k(df: DataFrame, first: tuple[str, list[float]], second: tuple[str
     return found.withColumn("distance", weight * d[0] + (1 - weight) * d[1]).orderBy("distance", unique).limit(k)
 
 
-def neighbour_blocks(df: DataFrame, least: float | None, unique: str = "vec_id", vector: str = "embedding", rows: int = 1024) -> DataFrame:
-    """(a, b, similarity): every vector's most similar other (`least` None), or all pairs a < b of at least `least`.
+def unit_rows(rows) -> tuple[np.ndarray, np.ndarray]:
+    m = np.array([r["v"] for r in rows], float)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.array([r["id"] for r in rows]), m / np.where(size > 0, size, 1)
 
-    Vectors are packed into blocks of rows; blocks meet blocks, each pair of blocks in one task by matrix product.
-    """
+
+def similar_pairs(df: DataFrame, least: float, unique: str = "vec_id", vector: str = "embedding", rows: int = 1024) -> DataFrame:
+    """(a, b, similarity): all pairs a < b of a cosine of at least `least`. As a cosine bounds the distance of unit
+    vectors, only blocks whose balls come that near to each other meet."""
+    ready = density.usable(df, unique, vector)
+    ready = ready.select("id", F.transform("v", lambda x: x / F.when(norm("v") > 0, norm("v")).otherwise(1.0)).alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            for x, y, same in zip(batch["x"], batch["y"], batch["same"], strict=True):
+                (a, p), (b, q) = unit_rows(x), unit_rows(y)
+                sims = p @ q.T
+                r, c = np.nonzero((sims >= least) & ((a[:, None] < b[None, :]) if same else True))
+                yield pd.DataFrame({"a": np.minimum(a[r], b[c]), "b": np.maximum(a[r], b[c]), "similarity": sims[r, c]})
+
+    radius = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+    return density.meetings(ready, radius, rows).mapInPandas(run, "a long, b long, similarity double")
+
+
+def neighbour_blocks(df: DataFrame, least: float | None, unique: str = "vec_id", vector: str = "embedding", rows: int = 1024, k: int = 1) -> DataFrame:
+    """(a, b, similarity): every vector's `k` most similar others (`least` None; equal ones by the smaller id), or all
+    pairs a < b of at least `least`.
+
+    For the most similar, blocks of rows meet all blocks, each two in one task by a matrix product that keeps k a row."""
+    if least is not None:
+        return similar_pairs(df, least, unique, vector, rows)
     ready = df.where(F.col(vector).isNotNull()).select(unique, F.col(vector).cast("array<double>").alias("v"))
     n = max(1, -(-ready.count() // rows))
-    packed = ready.groupBy(F.pmod(F.xxhash64(unique), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(F.col(unique).alias("id"), "v")).alias("rows"))
+    packed = ready.groupBy(F.pmod(F.xxhash64(unique), F.lit(n)).alias("block")).agg(F.sort_array(F.collect_list(F.struct(F.col(unique).alias("id"), "v"))).alias("rows"))
     left, right = packed.select(F.col("block").alias("i"), F.col("rows").alias("x")), packed.select(F.col("block").alias("j"), F.col("rows").alias("y"))
     pairs = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition("i", "j").join(right, "j")
-    if least is not None:
-        pairs = pairs.where("i <= j")
-
-    def unit(rows) -> tuple[np.ndarray, np.ndarray]:
-        m = np.array([r["v"] for r in rows], float)
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.array([r["id"] for r in rows]), m / np.where(size > 0, size, 1)
 
     def run(batches):
         for batch in batches:
-            for i, j, x, y in zip(batch["i"], batch["j"], batch["x"], batch["y"], strict=True):
-                (a, p), (b, q) = unit(x), unit(y)
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                (a, p), (b, q) = unit_rows(x), unit_rows(y)
                 sims = p @ q.T
-                if least is None:
-                    sims[a[:, None] == b[None, :]] = -np.inf
-                    top = sims.max(axis=1)
-                    first = np.where(sims == top[:, None], b[None, :], np.iinfo(np.int64).max).min(axis=1)
-                    keep = np.isfinite(top)
-                    yield pd.DataFrame({"a": a[keep], "b": first[keep], "similarity": top[keep]})
-                else:
-                    r, c = np.nonzero((sims >= least) & ((a[:, None] < b[None, :]) if i == j else True))
-                    yield pd.DataFrame({"a": np.minimum(a[r], b[c]), "b": np.maximum(a[r], b[c]), "similarity": sims[r, c]})
-
-    found = pairs.select("i", "j", "x", "y").mapInPandas(run, "a long, b long, similarity double")
-    if least is not None:
-        return found
-    best = F.max(F.struct("similarity", (-F.col("b")).alias("b"))).alias("best")
-    return found.groupBy("a").agg(best).select("a", (-F.col("best.b")).alias("b"), F.col("best.similarity").alias("similarity"))
+                sims[a[:, None] == b[None, :]] = -np.inf
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ids ascend, so equal ones do too
+                found = pd.DataFrame({"a": np.repeat(a, top.shape[1]), "b": b[top].ravel(), "similarity": np.take_along_axis(sims, top, axis=1).ravel()})
+                yield found[np.isfinite(found["similarity"])]
+
+    found = pairs.select("x", "y").mapInPandas(run, "a long, b long, similarity double")
+    first = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    return found.withColumn("_n", first).where(F.col("_n") <= k).drop("_n")
 
 
 def centroids(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -93,34 +108,32 @@ def class_outliers(df: DataFrame, key: str, percentile: float = 0.97, floor: flo
 
 def novelty(df: DataFrame, k: int = 5, unique: str = "vec_id") -> DataFrame:
     """1 - the mean of the k highest similarities to others; 0.5 where there is no vector."""
-    pairs = neighbour_blocks(df, -2.0, unique)
-    both = pairs.select("a", "similarity").union(pairs.select("b", "similarity"))
-    top = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity")))
-    near = both.withColumn("r", top).where(F.col("r") <= k).groupBy(F.col("a").alias(unique)).agg((1 - F.avg("similarity")).alias("novelty"))
+    near = neighbour_blocks(df, None, unique, k=k).groupBy(F.col("a").alias(unique)).agg((1 - F.avg("similarity")).alias("novelty"))
     return df.select(unique).join(near, unique, "left").fillna(0.5, ["novelty"])
 
 
-def diverse(ranked: DataFrame, group: str, order: list[Column], k: int, above: float, vector: str = "embedding") -> DataFrame:
-    """In each group, from the best down, rows not too similar to one already taken; k at most."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, kept, taken = rows.sort_values("_rank"), [], []
-        for n, v in enumerate(rows[vector]):
-            if len(taken) == k:
-                break
-            if v is not None:
-                v = np.asarray(v, float)
-                size = np.linalg.norm(v)
-                v = v / size if size else v
-                if kept and max(float(v @ u) for u in kept) > above:
-                    continue
-                kept.append(v)
-            taken.append(n)
-        return rows.iloc[taken].assign(pick=range(1, len(taken) + 1)).drop(columns="_rank")
-
-    numbered = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    schema = ranked.withColumn("pick", F.lit(0).cast("long")).schema
-    return numbered.groupBy(group).applyInPandas(pick, schema)
+def diverse(ranked: DataFrame, group: str, score: Column, k: int, above: float, unique: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(group, unique, pick): in each group, from the highest score down (equal ones by the smaller id), rows that are not
+    too similar to one already taken; k at most. Rows without a vector are like no other; unknown scores come last.
+
+    Each of the k steps is one aggregate: of the rows that no pick is too near, the best. A group's picks, k vectors at
+    most, go to its rows by a join, so a group of any size stays spread out."""
+    rows = ranked.where(F.col(group).isNotNull() & F.col(unique).isNotNull())
+    rows = cut(rows.select(F.col(group).alias("_g"), F.col(unique).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), score.cast("double").alias("_s")))
+    picks = None
+    for step in range(1, k + 1):
+        free = rows
+        if picks is not None:
+            own = picks.groupBy("_g").agg(F.collect_list(F.struct("_id", "_v")).alias("taken"))  # k at most
+            near = F.exists("taken", lambda t: (t["_id"] == F.col("_id")) | F.coalesce(cosine(t["_v"], F.col("_v")) > above, F.lit(False)))
+            free = rows.join(own, "_g").where(~near).drop("taken")
+        best = free.groupBy("_g").agg(F.max_by(F.struct("_id", "_v"), F.struct("_s", -F.col("_id"))).alias("x"))
+        now = cut(best.select("_g", "x._id", "x._v", F.lit(step).cast("long").alias("pick")))
+        if now.isEmpty():
+            break
+        picks = now if picks is None else picks.unionByName(now)
+    out = picks if picks is not None else rows.select("_g", "_id", "_v", F.lit(0).cast("long").alias("pick")).limit(0)
+    return out.select(F.col("_g").alias(group), F.col("_id").alias(unique), "pick")
 
 
 def farthest_points(df: DataFrame, k: int, unique: str = "vec_id", start: str = "central") -> list[int]:

@@ -64,7 +64,7 @@ def class_centroid_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diverse_batch(spark: SparkSession, d: str) -> DataFrame:
-    return V.diverse(vectors(spark, d), "label", [F.col("vec_id")], 8, 0.25).select("label", "vec_id", "pick")
+    return V.diverse(vectors(spark, d), "label", -F.col("vec_id"), 8, 0.25).select("label", "vec_id", "pick")
 
 
 def kcenter_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,17 @@ UNIT_SQL = """SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBL
 PAIRS_SQL = f"""SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.v, y.v) / (x.s * y.s) AS similarity FROM ({UNIT_SQL}) x JOIN ({UNIT_SQL}) y ON x.vec_id < y.vec_id"""
 BOTH_SQL = f"SELECT a, b, similarity FROM ({PAIRS_SQL}) UNION ALL SELECT b, a, similarity FROM ({PAIRS_SQL})"
 
+#: A recursion over a label's rows in order: a row is taken if it is like none of those taken, up to eight.
+DIVERSE_SQL = """WITH RECURSIVE e AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS step FROM embeddings),
+    walk AS (SELECT DISTINCT label, 0::BIGINT AS step, []::BIGINT[] AS ids, []::FLOAT[][] AS taken, NULL::BIGINT AS vec_id FROM e
+             UNION ALL
+             SELECT label, step, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(taken, v) ELSE taken END, CASE WHEN ok THEN id END FROM (
+                 SELECT w.label, e.step, w.ids, w.taken, e.vec_id AS id, e.embedding AS v,
+                        len(w.ids) < 8 AND len(list_filter(w.taken, lambda t: list_cosine_similarity(t, e.embedding) > 0.25)) = 0 AS ok
+                 FROM walk w JOIN e ON e.label = w.label AND e.step = w.step + 1))
+    SELECT label, vec_id, len(ids)::BIGINT AS pick FROM walk WHERE vec_id IS NOT NULL"""
 ORACLES = {
+    "diverse_batch": DIVERSE_SQL,
     "vector_topk": f"""WITH u AS ({UNIT_SQL}) SELECT x.vec_id, round(list_dot_product(x.v, q.v) / (x.s * q.s), 6) AS similarity FROM u x, u q
         WHERE q.vec_id = 0 AND x.vec_id <> 0 ORDER BY list_dot_product(x.v, q.v) / (x.s * q.s) DESC, x.vec_id LIMIT 20""",
     "vector_topk_filtered": f"""WITH u AS ({UNIT_SQL}) SELECT x.vec_id, x.label, round(list_dot_product(x.v, q.v) / (x.s * q.s), 6) AS similarity FROM u x, u q

@@ -265,6 +265,15 @@ ORACLES = {
         FROM o FULL JOIN n USING (kind, session_id, t) GROUP BY 1, 2""",
     "upsert_latest": "SELECT user_id AS session_id, event_type AS kind, max(epoch_us(ts)) AS t FROM events GROUP BY 1, 2",
     "bulk_tags": """SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct([p_type, p_brand, 'checked', 'new']), lambda x: x NOT IN ('Brand#11', 'Brand#12'))), ',') AS tags FROM part""",
+    "split_assign": f"""WITH RECURSIVE s AS (SELECT o_custkey AS session_id, count(*) AS n FROM ({OBJECTS_SQL}) x JOIN orders ON o_orderkey = frame_id GROUP BY 1),
+        t AS (SELECT 0.1 * sum(n)::DOUBLE AS room FROM s),
+        g AS (SELECT *, row_number() OVER (ORDER BY sha256('0:' || session_id)[1:16], session_id) AS step FROM s),
+        walk AS (SELECT 0::BIGINT AS step, NULL::BIGINT AS session_id, 0::BIGINT AS n, 'none' AS split, room AS val, room AS test FROM t
+                 UNION ALL
+                 SELECT step, session_id, n, split, val - CASE WHEN split = 'val' THEN n ELSE 0 END, test - CASE WHEN split = 'test' THEN n ELSE 0 END FROM (
+                     SELECT g.step, g.session_id, g.n, val, test, CASE WHEN val > 0 AND g.n <= val * 1.25 THEN 'val' WHEN test > 0 AND g.n <= test * 1.25 THEN 'test' ELSE 'train' END AS split
+                     FROM walk w JOIN g ON g.step = w.step + 1))
+        SELECT session_id, n, split FROM walk WHERE step > 0""",
     "split_leakage": """SELECT o_custkey AS session_id, count(DISTINCT CASE WHEN o_orderkey % 10 < 8 THEN 'train' ELSE 'val' END) AS splits FROM orders GROUP BY 1 HAVING splits > 1""",
     "split_shares": """SELECT DISTINCT o_custkey AS session_id, round(('0x' || sha256('0:' || o_custkey::VARCHAR)[1:16])::UBIGINT::DOUBLE / 18446744073709551616::DOUBLE, 9) AS share FROM orders""",
     "seal_fingerprint": """WITH h AS (SELECT lang, sha256(length(doc_id::VARCHAR) || ':' || doc_id || coalesce(length(lang) || ':' || lang, '-') || coalesce(length(text) || ':' || text, '-')) AS h FROM documents),

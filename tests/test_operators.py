@@ -164,3 +164,45 @@ def test_tracker_follows_a_box_and_drops_short_ones(spark):
     found = tracking.iou_tracker(df, "cam", "frame").collect()
     assert {r["id"] for r in found} == set(range(6))
     assert len({r["track_id"] for r in found}) == 1
+
+
+@pytest.mark.parametrize("parts", [1, 3, 64, 4096])
+def test_splits_equal_a_literal_pass(spark, parts):
+    """Whatever the number of ranges, the outcome is that of walking all groups in order."""
+    rng = random.Random(parts)
+    for val, test, most in ((0.1, 0.1, 5), (0.2, 0.0, 40), (0.3, 0.4, 2)):
+        counts = {f"g{g}": rng.randint(1, most) for g in range(120)}
+        df = spark.createDataFrame([(g,) for g, n in counts.items() for _ in range(n)], "g string")
+        shares = {r["g"]: r["s"] for r in df.select("g").distinct().select("g", sets.hash_share("0", "g").alias("s")).collect()}
+        room = {k: v * sum(counts.values()) for k, v in (("val", val), ("test", test)) if v}
+        want = {}
+        for g in sorted(counts, key=lambda g: (shares[g], g)):
+            want[g] = next((k for k, left in room.items() if left > 0 and counts[g] <= left * 1.25), "train")
+            if want[g] in room:
+                room[want[g]] -= counts[g]
+        assert {r["g"]: r["split"] for r in sets.assign_splits(df, "g", val, test, parts=parts).collect()} == want
+
+
+def test_diverse_equals_a_literal_pass(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice([0.1, 0.5, None, rng.random()]), [rng.gauss(0, 1) for _ in range(3)] if rng.random() > 0.1 else None) for k in range(60)] + [(100, "z", 1.0, [0.0, 0.0, 0.0]), (101, "z", 1.0, [0.0, 0.0, 0.0])]
+    got = vectors.diverse(spark.createDataFrame(rows, "vec_id long, grp string, s double, embedding array<double>"), "grp", F.col("s"), 4, 0.5).collect()
+    want = []
+    for g in ("a", "b", "z"):
+        kept = []
+        for r in sorted((r for r in rows if r[1] == g), key=lambda r: (-(-1.0 if r[2] is None else r[2]), r[0])):
+            size = lambda v: sum(x * x for x in v) ** 0.5
+            near = [u for u in kept if u and r[3] and size(u) * size(r[3]) > 0 and sum(x * y for x, y in zip(u, r[3], strict=True)) / size(u) / size(r[3]) > 0.5]
+            if not near and len(kept) < 4:
+                kept.append(r[3])
+                want.append((g, r[0], len(kept)))
+    assert sorted((r["grp"], r["vec_id"], r["pick"]) for r in got) == sorted(want)
+
+
+def test_similar_pairs_skip_blocks_far_apart(spark):
+    rng = random.Random(10)
+    rows = [(k, [rng.gauss(c, 0.3) for c in rng.choice([(5, 0, 0), (0, 5, 0), (0, 0, 5)])]) for k in range(90)] + [(200, None), (201, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["a"], r["b"]) for r in vectors.similar_pairs(df, 0.99, rows=8).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    assert got == {(i, j) for i, a in rows[:90] for j, b in rows[:90] if i < j and cos(a, b) >= 0.99}
