@@ -71,19 +71,25 @@ def byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value, space, powers
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, tables: tuple) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, tables: tuple, split=None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts that lie one after another in `data` (bytes), and the texts' bounds among them.
 
-    `starts` has the place of each text's first byte, and the length of `data` at its end.
+    `starts` has the place of each text's first byte, and the length of `data` at its end. `split` tells of the bytes
+    which more are blank, and where more words begin.
     """
     value, space, powers = tables
-    blank = space[data]
+    blank, begin = space[data], None
+    if split is not None:
+        more, begin = split(data)
+        blank |= more
     at = np.flatnonzero(~blank)
     if not len(at):
         return np.empty(0, np.uint64), np.zeros(len(starts), np.int64)
     first = np.zeros(len(data) + 1, bool)
     first[starts] = True
     first[1:-1] |= blank[:-1]
+    if begin is not None:
+        first[:-1] |= begin
     begins = np.flatnonzero(first[at])
     lengths = np.diff(np.append(begins, len(at)))
     place = np.arange(len(at)) - np.repeat(begins, lengths)

@@ -4,8 +4,9 @@ A test item of n words may differ from a passage by e = floor(max_error * n) wor
 e + 1 pieces, so a passage within that budget holds at least one piece unchanged. Exact piece hits are found by
 rolling hashes of the document's words; each place they point to is verified by Myers' bit-parallel edit distance.
 
-Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. Items of fewer words than
-1 / max_error have no budget and match exact copies only. Null and empty items, and those without a word, match
+Words are runs of characters other than white space and punctuation (ASCII, general, CJK and full-width), A-Z
+lower-cased; in scripts that put no spaces between words each character is one. Items of fewer words than 1 / max_error
+have no budget and match exact copies only, so an item of one word marks every text that has that word. Null and empty items, and those without a word, match
 nothing; `min_words` can leave out items too short to tell. Null and empty texts match nothing. Rows are judged one by one, repeated ids included; other columns are not looked at.
 Items are broadcast in slices of at most `slice_bytes` of text, each matched in a pass of its own.
 """
@@ -31,6 +32,32 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value, space, powers
 
 
+# Code points of punctuation and spaces beyond ASCII, and of scripts written without spaces between words.
+SEPARATORS = ((0xA0, 0xA1), (0xAB, 0xAB), (0xB7, 0xB7), (0xBB, 0xBB), (0xBF, 0xBF), (0x2000, 0x206F), (0x3000, 0x303F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+UNSPACED = ((0xE00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FFF), (0x3040, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def split(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the bytes of UTF-8 text, which are of separators beyond ASCII, and where characters that stand alone, or what
+    follows them, begin."""
+    blank, begin = np.zeros(len(data), bool), np.zeros(len(data) + 1, bool)
+    at = np.flatnonzero(data >= 0xC2)  # first bytes of longer characters
+    size = 2 + (data[at] >= 0xE0).astype(np.int64) + (data[at] >= 0xF0)
+    whole = at + size <= len(data)
+    at, size = at[whole], size[whole]
+    code = data[at] & (0xFF >> (size + 1))
+    code = code.astype(np.int64)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = (code[more] << 6) | (data[at[more] + k] & 0x3F)
+    within = lambda ranges: np.any([(code >= low) & (code <= high) for low, high in ranges], axis=0)
+    gone, alone = within(SEPARATORS), within(UNSPACED)
+    for k in range(4):
+        blank[at[gone & (size > k)] + k] = True
+    begin[at[alone]] = begin[at[alone] + size[alone]] = True
+    return blank, begin[:-1]
+
+
 def windows(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of `size` words."""
     h = words[: len(words) - size + 1].copy()
@@ -69,7 +96,7 @@ class Items:
         data = np.frombuffer("\n".join(texts).encode(), np.uint8)
         starts = np.append(0, np.cumsum([len(t.encode()) + 1 for t in texts]))
         starts[-1] = len(data)
-        words, bounds = word_hashes(data, starts, tables()) if len(data) else (np.empty(0, np.uint64), np.zeros(len(texts) + 1, int))
+        words, bounds = word_hashes(data, starts, tables(), split) if len(data) else (np.empty(0, np.uint64), np.zeros(len(texts) + 1, int))
         self.ids, self.words, self.budgets = ids, [words[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], []
         found: dict[int, list[tuple[int, int, int]]] = {}
         for k, w in enumerate(self.words):
@@ -147,7 +174,7 @@ def scan(rows: DataFrame, ids: list[int], texts: list[str], max_error: float, mi
         for batch in batches:
             leaks = batch.column("leaks").to_pylist()
             for a, _, data, starts in text_chunks(batch.column("text")):
-                words, bounds = word_hashes(data, starts, marks)
+                words, bounds = word_hashes(data, starts, marks, split)
                 for d, k, end, distance in sorted(known.matches(words, bounds)):
                     leaks[a + d] = [*leaks[a + d], {"item_id": known.ids[k], "end_word": end, "distance": distance}]
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("end_word", pa.int32()), ("distance", pa.int32())]))
