@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Normal quantiles of the two-sided confidence levels.
-Z = {0.80: 1.2816, 0.90: 1.6449, 0.95: 1.96, 0.99: 2.5758}
+Z = {0.80: 1.2816, 0.90: 1.6449, 0.95: 1.959964, 0.99: 2.5758}
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -44,14 +44,16 @@ def rogan_gladen(p: Column, sensitivity: Column, specificity: Column) -> Column:
 
 
 def rogan_gladen_interval(p: Column, sensitivity: Column, specificity: Column) -> Column:
-    """struct(lo, hi, clamped) over the corners of three intervals (structs of p, lo, hi)."""
-    corners = [(x, se, sp) for x in (p["lo"], p["hi"], p["p"]) for se in (sensitivity["lo"], sensitivity["hi"]) for sp in (specificity["lo"], specificity["hi"])]
-    fixed = [rogan_gladen(*c) for c in corners]
-    raw = [(x + sp - 1) / F.when(se + sp - 1 > 1e-9, se + sp - 1) for x, se, sp in corners]
+    """struct(p, lo, hi, clamped): an observed rate corrected at the lower ends, the middle and the upper ends of the judge's
+    intervals (structs of p, lo, hi). The rate is held as it is: its own sampling error is not in the interval, which is
+    the judge's alone. `clamped` says that the judge can't explain the rate; nulls that it can't tell at all."""
+    points = [(sensitivity[e], specificity[e]) for e in ("lo", "p", "hi")]
+    fixed = [rogan_gladen(p, *x) for x in points]
+    raw = [(p + sp - 1) / F.when(se + sp - 1 > 1e-9, se + sp - 1) for se, sp in points]
     clamped = F.lit(False)
     for r in raw:
         clamped = clamped | F.coalesce((r < 0) | (r > 1), F.lit(False))
-    return F.struct(F.least(*fixed).alias("lo"), F.greatest(*fixed).alias("hi"), clamped.alias("clamped"))
+    return F.struct(fixed[1].alias("p"), F.least(*fixed).alias("lo"), F.greatest(*fixed).alias("hi"), clamped.alias("clamped"))
 
 
 def acceptance(interval: Column, limit: float) -> Column:

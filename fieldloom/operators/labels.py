@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -100,11 +103,19 @@ def drop_rate(df: DataFrame, key: str, number: str) -> DataFrame:
     return out.withColumn("rate", 1 - F.col("received") / F.col("expected"))
 
 
+# Scores of a session from which it passes, and below which it is set aside.
+PASS_MIN, QUARANTINE_BELOW = 85.0, 55.0
+
+
 def health(checks: DataFrame, key: str) -> DataFrame:
-    """(key, score, decision) from (key, check, weight, level): the weighed mean of levels; one failed check blocks."""
-    worst = F.min("level")
-    out = checks.groupBy(key).agg((F.sum(F.col("weight") * F.col("level")) / F.sum("weight")).alias("score"), worst.alias("worst"))
-    return out.select(key, "score", F.when(F.col("worst") <= 0, "quarantine").when(F.col("score") < 0.8, "review").otherwise("pass").alias("decision"))
+    """(key, score, decision, n_failed) from (key, check, weight, level): 100 times the weighed mean of levels, to a tenth.
+
+    A check at level 0 has failed and sets the session aside, whatever the score; so does no weight at all."""
+    total = F.sum("weight")
+    score = F.when(total > 0, F.round(100 * F.sum(F.col("weight") * F.col("level")) / total, 1)).otherwise(0.0)
+    out = checks.groupBy(key).agg(score.alias("score"), F.count(F.when(F.col("level") <= 0, 1)).alias("n_failed"))
+    decision = F.when((F.col("n_failed") > 0) | (F.col("score") < QUARANTINE_BELOW), "quarantine").when(F.col("score") >= PASS_MIN, "pass").otherwise("degraded")
+    return out.select(key, "score", decision.alias("decision"), "n_failed")
 
 
 def voxels(points: DataFrame, size: float) -> DataFrame:
@@ -113,24 +124,88 @@ def voxels(points: DataFrame, size: float) -> DataFrame:
     return points.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in "xyz"))
 
 
-def bootstrap(df: DataFrame, value: str, rounds: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """One row (mean, lo, hi): each row counts a Poisson(1) number of times in each round, so rounds are one pass over
-    the data and one sum for each round and task."""
+def drawn(h: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """A uniform number in [0, 1) for each round and row, from the row's 64-bit hash alone."""
+    k = (np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[:, None]
+    x = h.astype(np.int64).view(np.uint64)[None, :] + k
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+
+
+def resampled(df: DataFrame, value: str, unique: str, rounds: int, seed: int, times) -> DataFrame:
+    """(round, total, n): sums over the rows that have a value, each counted as often as `times` says of its draw."""
 
     def run(batches):
-        rng, total, n = None, np.zeros(rounds), np.zeros(rounds)
+        total, n = np.zeros(rounds), np.zeros(rounds)
         for b in batches:
-            x = b["v"].to_numpy(float)
-            rng = rng or np.random.default_rng([seed, *np.abs(x[:4] * 1e6).astype(np.int64)])
-            times = rng.poisson(1.0, (rounds, len(x)))
-            total += times @ x
-            n += times.sum(axis=1)
+            x, h = b["v"].to_numpy(float), b["h"].to_numpy()
+            for a in range(0, len(x), 4096):
+                w = times(drawn(h[a : a + 4096], rounds, seed))
+                total += w @ x[a : a + 4096]
+                n += w.sum(axis=1)
         yield pd.DataFrame({"round": np.arange(rounds), "total": total, "n": n})
 
-    sums = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").mapInPandas(run, "round int, total double, n double")
-    means = sums.groupBy("round").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+    rows = df.select(F.col(value).cast("double").alias("v"), F.xxhash64(unique).alias("h")).where("v IS NOT NULL AND NOT isnan(v)")
+    return rows.mapInPandas(run, "round int, total double, n double").groupBy("round").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def bootstrap(df: DataFrame, value: str, unique: str, rounds: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """One row (mean, lo, hi): a row counts a Poisson(1) number of times in each round, drawn from the hash of its id, so
+    the rounds are one pass over the data and the same at any partitioning. Nulls without values."""
+    steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(20)])
+    sums = resampled(df, value, unique, rounds, seed, lambda u: np.searchsorted(steps, u).astype(float))
+    means = sums.select((F.col("total") / F.nullif("n", F.lit(0.0))).alias("m"))
     ends = means.agg(F.percentile("m", alpha / 2).alias("lo"), F.percentile("m", 1 - alpha / 2).alias("hi"))
-    return df.agg(F.avg(value).alias("mean")).crossJoin(ends)
+    return df.agg(F.avg(value).alias("mean")).crossJoin(ends)  # a row each
+
+
+def paired_test(df: DataFrame, champion: str, challenger: str, unique: str, rounds: int = 2000, seed: int = 0) -> DataFrame:
+    """One row (n, delta, p_value, direction, significant): whether the challenger is better on the same objects.
+
+    Under chance alone the sign of each difference might as well be the other; `p_value` is how often rounds of random
+    signs, drawn from hashes of the ids, part the means at least as far. Significant is only what is better at 0.05.
+    Objects that one side has no score of take no part."""
+    diffs = df.select(unique, (F.col(challenger) - F.col(champion)).cast("double").alias("_d")).where("_d IS NOT NULL AND NOT isnan(_d)")
+    seen = diffs.agg(F.count(F.lit(1)).alias("n"), F.sum("_d").alias("total"))
+    sums = resampled(diffs, "_d", unique, rounds, seed, lambda u: np.where(u < 0.5, 1.0, -1.0))
+    far = F.abs(F.col("sums.total")) >= F.abs(F.col("seen.total")) - 1e-12 * F.abs(F.col("seen.total"))
+    p = sums.alias("sums").crossJoin(F.broadcast(seen).alias("seen")).agg(F.count(F.when(far, 1)).alias("k"), F.coalesce(F.max("seen.n"), F.lit(0)).alias("n"), F.max("seen.total").alias("total"))
+    delta = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    p_value = F.when(F.col("n") > 0, (F.col("k") + 1) / (rounds + 1))
+    direction = F.when(delta > 0, "better").when(delta < 0, "worse").when(delta == 0, "same")
+    return p.select(F.col("n"), delta.alias("delta"), p_value.alias("p_value"), direction.alias("direction"), F.coalesce((p_value < 0.05) & (delta > 0), F.lit(False)).alias("significant"))
+
+
+def projection_drift(df: DataFrame, current: Column, vector: str = "embedding", axes: int = 32, bins: int = 10, seed: int = 0, eps: float = 1e-6) -> DataFrame:
+    """(axis, psi): the stability index of the rows where `current` is true against the others, along random directions
+    through all dimensions (each component with a sign, from a hash of seed, axis and place), in bins at the reference's
+    quantiles.
+
+    One fixed coordinate is blind to all others; of many random directions some see any shift. Rows with a null vector or
+    an odd component take no part; vectors of one table have one length."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.coalesce(current, F.lit(False)).alias("now"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("v") > 0))
+
+    def run(batches):
+        ways = None
+        for b in batches:
+            if not len(b):
+                continue
+            v = np.stack(b["v"].to_numpy())
+            if ways is None:
+                ways = np.array([[1.0 if hashlib.md5(f"{seed}:{k}:{j}".encode()).hexdigest() < "8" else -1.0 for j in range(v.shape[1])] for k in range(axes)])
+            at = v @ ways.T / np.sqrt(v.shape[1])
+            yield pd.DataFrame({"now": b["now"], "at": list(at)})
+
+    placed = rows.mapInPandas(run, "now boolean, at array<double>").select("now", F.posexplode("at").alias("axis", "x"))
+    placed = placed.withColumn("x", F.round("x", 9))
+    edges = placed.where("NOT now").groupBy("axis").agg(F.percentile_approx("x", [k / bins for k in range(1, bins)], 10_000).alias("edges"))
+    binned = placed.join(F.broadcast(edges), "axis").withColumn("bin", F.size(F.array_distinct(F.filter("edges", lambda c: c < F.col("x")))))
+    counts = binned.groupBy("axis", "bin").agg(F.count(F.when(~F.col("now"), 1)).alias("r"), F.count(F.when(F.col("now"), 1)).alias("c"))
+    w = Window.partitionBy("axis")  # `bins` rows
+    share = counts.select("axis", *((F.col(k) / F.nullif(F.sum(k).over(w), F.lit(0)) + eps).alias(k) for k in "rc"))
+    return share.groupBy("axis").agg(F.sum((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))).alias("psi"))
 
 
 def hamming_pairs(df: DataFrame, unique: str, bits: str, most: int = 6) -> DataFrame:

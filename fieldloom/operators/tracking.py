@@ -50,30 +50,44 @@ def iou_tracker(df: DataFrame, key: str, frame: str, least: float = 0.3, max_age
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-def trajectories(df: DataFrame, key: str, frame: str, width: float) -> DataFrame:
-    """Per track: drift across the image, growth of its area, mean speed in pixels, whether it approaches."""
-    box = F.struct("x1", "y1", "x2", "y2")
-    w = Window.partitionBy(key).orderBy(frame)
-    mid = G.centre(box)
-    df = df.withColumns({"_x": mid["x"], "_y": mid["y"], "_area": G.area(box)})
-    step = F.sqrt(F.pow(F.col("_x") - F.lag("_x").over(w), 2) + F.pow(F.col("_y") - F.lag("_y").over(w), 2))
-    df = df.withColumn("_step", F.coalesce(step, F.lit(0.0)))
-    first, last = (lambda c: F.min_by(c, frame)), (lambda c: F.max_by(c, frame))
-    out = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), ((last("_x") - first("_x")) / width).alias("x_drift"), (last("_area") / first("_area")).alias("area_growth"), F.avg("_step").alias("mean_speed"))
-    return out.withColumn("approaching", F.col("area_growth") > 1.15)
+# Growth of the area from which a track counts as coming nearer, and of the dynamics: plausible steps in
+# time (s), fastest closing (km/h), least closing (m/s), longest time to collision (s), times and distances of the risks.
+NEARER = 1.15
+STEPS_S, FASTEST_KMH, CLOSING_MPS, LONGEST_S = (0.05, 2), 150, 0.5, 60
+HIGH_S, MEDIUM_S, HIGH_VRU_M, MEDIUM_VRU_M, MEDIUM_M = 1.5, 4, 5, 12, 10
+
+
+def trajectories(df: DataFrame, key: str, t: str, width: float) -> DataFrame:
+    """(key, n, x_drift, area_growth, mean_speed, net_displacement, duration, approaching) of each track.
+
+    A box stands where the middle of its lower edge is, which is about where it meets the ground. Speeds are pixels a second
+    (0 at the first box, and where time does not go on), drift is a share of the image's width, times are seconds.
+    """
+    w = Window.partitionBy(key).orderBy(t, "x1", "y1", "x2", "y2")
+    df = df.withColumns({"_x": (F.col("x1") + F.col("x2")) / 2, "_y": F.col("y2").cast("double"), "_area": F.greatest(F.lit(1.0), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))})
+    dt = F.col(t) - F.lag(t).over(w)
+    away = F.sqrt(F.pow(F.col("_x") - F.lag("_x").over(w), 2) + F.pow(F.col("_y") - F.lag("_y").over(w), 2))
+    df = df.withColumns({"_speed": F.coalesce(F.when(dt > 0, away / dt), F.lit(0.0)), "_n": F.row_number().over(w)})
+    first, last = (lambda c: F.min_by(c, "_n")), (lambda c: F.max_by(c, "_n"))
+    moved = F.sqrt(F.pow(last("_x") - first("_x"), 2) + F.pow(last("_y") - first("_y"), 2))
+    out = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), ((last("_x") - first("_x")) / width).alias("x_drift"), (last("_area") / first("_area")).alias("area_growth"),
+        F.avg("_speed").alias("mean_speed"), moved.alias("net_displacement"), (last(t) - first(t)).alias("duration"),
+    )
+    return out.withColumn("approaching", F.col("area_growth") > NEARER)
 
 
 def dynamics(df: DataFrame, key: str, t: str, distance: str) -> DataFrame:
     """Closing speed, time to collision and risk from distances (m) over time (s); implausible steps give nulls."""
     w = Window.partitionBy(key).orderBy(t)
     dt = F.col(t) - F.lag(t).over(w)
-    closing = F.when(dt.between(0.05, 2), (F.lag(distance).over(w) - F.col(distance)) / dt)
-    df = df.withColumn("closing", closing).withColumn("closing", F.when(F.abs("closing") <= 150 / 3.6, F.col("closing")))
-    ttc = F.when(F.col("closing") >= 0.5, F.col(distance) / F.col("closing"))
-    df = df.withColumn("ttc", F.when(ttc <= 60, ttc))
+    closing = F.when(dt.between(*STEPS_S), (F.lag(distance).over(w) - F.col(distance)) / dt)
+    df = df.withColumn("closing", closing).withColumn("closing", F.when(F.abs("closing") <= FASTEST_KMH / 3.6, F.col("closing")))
+    ttc = F.when(F.col("closing") >= CLOSING_MPS, F.col(distance) / F.col("closing"))
+    df = df.withColumn("ttc", F.when(ttc <= LONGEST_S, ttc))
     near = F.col(distance)
-    high = (F.col("ttc") < 1.5) | (F.col("vru") & (near < 5))
-    medium = (F.col("ttc") < 4) | (near < F.when(F.col("vru"), 12).otherwise(10))
+    high = (F.col("ttc") < HIGH_S) | (F.col("vru") & (near < HIGH_VRU_M))
+    medium = (F.col("ttc") < MEDIUM_S) | (near < F.when(F.col("vru"), MEDIUM_VRU_M).otherwise(MEDIUM_M))
     return df.withColumn("risk", F.when(high, "high").when(medium, "medium").otherwise("low"))
 
 

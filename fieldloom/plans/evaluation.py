@@ -159,7 +159,7 @@ AP_SQL = f"""WITH p AS ({PREDICTED_SQL}), t AS (SELECT label, count(*) AS n FROM
           FROM (SELECT p.*, t.n FROM p JOIN t ON t.label = p.predicted) WINDOW w AS (PARTITION BY predicted ORDER BY score DESC, vec_id)),
     q AS (SELECT predicted, i, coalesce(max(hits / rank) FILTER (100 * hits >= i * n), 0) AS p FROM r, range(101) g(i) GROUP BY 1, 2),
     a AS (SELECT predicted, avg(p) AS ap FROM q GROUP BY 1) SELECT label AS predicted, round(coalesce(ap, 0), 6) AS ap FROM t LEFT JOIN a ON a.predicted = t.label"""
-WILSON = "(({k} / {n}::DOUBLE + 3.8416 / (2 * {n})) {sign} 1.96::DOUBLE * sqrt({k} / {n}::DOUBLE * (1 - {k} / {n}::DOUBLE) / {n} + 3.8416::DOUBLE / (4.0::DOUBLE * {n} * {n}))) / (1 + 3.8416 / {n})"
+WILSON = "(({k} / {n}::DOUBLE + 3.841458881296 / (2 * {n})) {sign} 1.959964::DOUBLE * sqrt({k} / {n}::DOUBLE * (1 - {k} / {n}::DOUBLE) / {n} + 3.841458881296::DOUBLE / (4.0::DOUBLE * {n} * {n}))) / (1 + 3.841458881296 / {n})"
 
 
 def wilson_sql(k: str, n: str, sign: str) -> str:

@@ -73,7 +73,7 @@ def session_health(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("value") > 1, F.least(F.lit(1.0), F.col("value") / 10)).otherwise(0.0)
     checks = events(spark, d).select("session_id", F.col("kind").alias("check"), F.when(F.col("kind") == "error", 2.0).otherwise(1.0).alias("weight"), level.alias("level"))
     means = checks.groupBy("session_id", "check").agg(F.avg("weight").alias("weight"), F.round(F.avg("level"), 6).alias("level"))
-    return L.health(means, "session_id").select("session_id", F.round("score", 5).alias("score"), "decision")
+    return L.health(means, "session_id").select("session_id", "score", "decision", "n_failed")
 
 
 def voxel_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,15 @@ def voxel_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
-    return L.bootstrap(events(spark, d), "value")
+    found = L.bootstrap(events(spark, d), "value", "event_id")
+    return found.select(*(F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")))
+
+
+def paired_test(spark: SparkSession, d: str) -> DataFrame:
+    """Two scores of each object: its discount against its tax."""
+    lines = table(spark, d, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
+    found = L.paired_test(lines.where("l_quantity > 45"), "l_tax", "l_discount", "id")
+    return found.select("n", F.round("delta", 6).alias("delta"), F.round("p_value", 6).alias("p_value"), "direction", "significant")
 
 
 def phash_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -101,19 +109,14 @@ def experiment_differences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Stability index of each of eight axes, over ten bins at the reference half's quantiles."""
-    e = table(spark, d, "embeddings").select((F.col("vec_id") % 2).alias("side"), F.posexplode(F.slice("embedding", 1, 8)).alias("axis", "x")).withColumn("x", F.col("x").cast("double"))
-    edges = e.where("side = 0").groupBy("axis").agg(F.percentile("x", F.array(*(F.lit(k / 10) for k in range(1, 10)))).alias("edges"))
-    binned = e.join(F.broadcast(edges), "axis").withColumn("bin", F.size(F.filter("edges", lambda c: c < F.col("x"))))
-    counts = binned.groupBy("axis", "bin").agg(F.count(F.when(F.col("side") == 0, 1)).alias("r"), F.count(F.when(F.col("side") == 1, 1)).alias("c"))
-    w = Window.partitionBy("axis")
-    share = counts.select("axis", *((F.col(k) / F.sum(k).over(w) + 1e-6).alias(k) for k in "rc"))
-    return share.groupBy("axis").agg(F.round(F.sum((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))), 6).alias("psi"))
+    """Stability index along 32 random directions of all components, odd ids against even ones."""
+    found = L.projection_drift(table(spark, d, "embeddings"), F.col("vec_id") % 2 == 1)
+    return found.select("axis", F.round("psi", 6).alias("psi"))
 
 
 QUERIES = {f.__name__: f for f in (
     consensus_vote, nms, recall_recovery, label_quality, missed_frame_score, temporal_repair, review_confusions, gated_queue, frame_drops,
-    session_health, voxel_grid, bootstrap_mean, phash_pairs, parameter_grid, experiment_differences, embedding_drift,
+    session_health, voxel_grid, bootstrap_mean, paired_test, phash_pairs, parameter_grid, experiment_differences, embedding_drift,
 )}
 
 BOX_SQL = f"""SELECT floor(t / 14400000000)::BIGINT AS frame, event_id AS id, session_id % 3 AS path, CASE WHEN kind IN ('view', 'click') THEN 'a' ELSE 'b' END AS cls,
@@ -142,19 +145,21 @@ ORACLES = {
     "frame_drops": """WITH g AS (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id - 1 AS gap FROM events)
         SELECT user_id AS session_id, max(event_id) - min(event_id) + 1 AS expected, count(*) AS received, coalesce(max(gap), 0) AS longest, round(1 - count(*) / (max(event_id) - min(event_id) + 1), 6) AS rate FROM g GROUP BY 1""",
     "session_health": f"""WITH m AS (SELECT session_id, kind, CASE WHEN kind = 'error' THEN 2 ELSE 1 END AS w, round(avg(CASE WHEN value > 1 THEN least(1, value / 10) ELSE 0 END), 6) AS level FROM ({EVENTS_SQL}) GROUP BY 1, 2),
-        s AS (SELECT session_id, sum(w * level) / sum(w) AS score, min(level) AS worst FROM m GROUP BY 1)
-        SELECT session_id, round(score, 5) AS score, CASE WHEN worst <= 0 THEN 'quarantine' WHEN score < 0.8 THEN 'review' ELSE 'pass' END AS decision FROM s""",
+        s AS (SELECT session_id, round(100 * sum(w * level) / sum(w), 1) AS score, count(*) FILTER (level <= 0) AS n_failed FROM m GROUP BY 1)
+        SELECT session_id, score, CASE WHEN n_failed > 0 OR score < 55 THEN 'quarantine' WHEN score >= 85 THEN 'pass' ELSE 'degraded' END AS decision, n_failed FROM s""",
     "voxel_grid": f"""WITH p AS (SELECT width / 3 AS x, height / 9000 AS y, conf AS z FROM ({OBJECTS_SQL}))
         SELECT floor(x / 2)::BIGINT AS vx, floor(y / 2)::BIGINT AS vy, floor(z / 2)::BIGINT AS vz, count(*) AS n, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z FROM p GROUP BY 1, 2, 3""",
     "phash_pairs": """WITH b AS (SELECT vec_id, list_transform(embedding[1:63], lambda x: (x > 0)::INT) AS h FROM embeddings),
         p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.h, y.h), lambda z: (z[1] <> z[2])::INT))::INT AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id)
         SELECT a, b, distance FROM p WHERE distance <= 14""",
-    "parameter_grid": """SELECT lr::DOUBLE AS lr, depth::INT AS depth, kind, row_number() OVER (ORDER BY lr, depth, kind) AS trial FROM (VALUES (0.1), (0.01)) a(lr), (VALUES (3), (5), (7)) b(depth), (VALUES ('a'), ('b')) c(kind)""",
-    "experiment_differences": """SELECT 'nation' AS name, string_agg(DISTINCT s_nationkey::VARCHAR, ',' ORDER BY s_nationkey::VARCHAR) AS values FROM supplier WHERE s_suppkey <= 5 HAVING count(DISTINCT s_nationkey) > 1""",
-    "embedding_drift": """WITH e AS (SELECT vec_id % 2 AS side, unnest(embedding[1:8])::DOUBLE AS x, generate_subscripts(embedding[1:8], 1) - 1 AS axis FROM embeddings),
-        q AS (SELECT axis, unnest(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edge FROM e WHERE side = 0 GROUP BY 1),
-        b AS (SELECT e.axis, e.side, e.x, count(q.edge) AS bin FROM (SELECT *, row_number() OVER () AS k FROM e) e LEFT JOIN q ON q.axis = e.axis AND q.edge < e.x GROUP BY e.axis, e.side, e.x, e.k),
+    "embedding_drift": """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings),
+        w AS (SELECT k AS axis, j, CASE WHEN md5('0:' || k || ':' || j) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE AS sign FROM range(32) a(k), range(64) b(j)),
+        e AS (SELECT axis, vec_id, vec_id % 2 AS side, round(sum(x * sign) / 8, 9) AS x FROM v JOIN w USING (j) GROUP BY 1, 2),
+        q AS (SELECT axis, unnest(quantile_disc(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edge FROM e WHERE side = 0 GROUP BY 1),
+        b AS (SELECT e.axis, e.side, e.vec_id, count(q.edge) AS bin FROM e LEFT JOIN q ON q.axis = e.axis AND q.edge < e.x GROUP BY 1, 2, 3),
         c AS (SELECT axis, bin, count(*) FILTER (side = 0) AS r, count(*) FILTER (side = 1) AS c FROM b GROUP BY 1, 2),
         s AS (SELECT axis, r / sum(r) OVER (PARTITION BY axis) + 1e-6 AS r, c / sum(c) OVER (PARTITION BY axis) + 1e-6 AS c FROM c)
         SELECT axis::INT AS axis, round(sum((c - r) * ln(c / r)), 6) AS psi FROM s GROUP BY 1""",
+    "parameter_grid": """SELECT lr::DOUBLE AS lr, depth::INT AS depth, kind, row_number() OVER (ORDER BY lr, depth, kind) AS trial FROM (VALUES (0.1), (0.01)) a(lr), (VALUES (3), (5), (7)) b(depth), (VALUES ('a'), ('b')) c(kind)""",
+    "experiment_differences": """SELECT 'nation' AS name, string_agg(DISTINCT s_nationkey::VARCHAR, ',' ORDER BY s_nationkey::VARCHAR) AS values FROM supplier WHERE s_suppkey <= 5 HAVING count(DISTINCT s_nationkey) > 1""",
 }

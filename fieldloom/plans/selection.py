@@ -275,8 +275,8 @@ ORACLES = {
     "turn_stats": """SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, arg_max(role, turn) AS last_role, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""",
     "json_props": """SELECT event_type AS kind, sum((props->>'$.k')::INT)::BIGINT AS sum_k, max((props->>'$.k')::INT)::BIGINT AS max_k FROM events GROUP BY 1""",
     "scorecard_wilson": """WITH c AS (SELECT l_suppkey AS track_id, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS ok FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-        w AS (SELECT *, ok / n::DOUBLE AS p0, (ok / n::DOUBLE + 3.8416 / (2 * n)) / (1 + 3.8416 / n) AS centre FROM c),
-        h AS (SELECT *, 1.96::DOUBLE * sqrt(p0 * (1 - p0) / n + 3.8416::DOUBLE / (4.0::DOUBLE * n * n)) / (1 + 3.8416 / n) AS half FROM w)
+        w AS (SELECT *, ok / n::DOUBLE AS p0, (ok / n::DOUBLE + 3.841458881296 / (2 * n)) / (1 + 3.841458881296 / n) AS centre FROM c),
+        h AS (SELECT *, 1.959964::DOUBLE * sqrt(p0 * (1 - p0) / n + 3.841458881296::DOUBLE / (4.0::DOUBLE * n * n)) / (1 + 3.841458881296 / n) AS half FROM w)
         SELECT track_id, n, ok, round(p0, 4) AS p, round(greatest(0, centre - half), 4) AS lo, round(least(1, centre + half), 4) AS hi, n >= 25 AS proven FROM h""",
     "co_occurrence": f"""WITH p AS (SELECT DISTINCT frame_id, l1 FROM ({OBJECTS_SQL}) WHERE conf >= 0.8)
         SELECT x.l1 AS a, y.l1 AS b, count(*) AS n FROM p x JOIN p y ON x.frame_id = y.frame_id AND x.l1 < y.l1 GROUP BY 1, 2""",

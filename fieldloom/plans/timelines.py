@@ -134,7 +134,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes that drift with time: one frame for each event of a session, by order."""
     e = events(spark, d).withColumn("frame", F.row_number().over(Window.partitionBy("session_id").orderBy(*ORDER)).cast("long"))
     x = F.col("frame") * 4.0 + F.col("value") / 10
-    return e.select("session_id", "frame", F.col("event_id").alias("id"), x.alias("x1"), F.lit(10.0).alias("y1"), (x + 60).alias("x2"), (50 + F.col("value") / 5).alias("y2"))
+    return e.select("session_id", "frame", (F.col("t") / 1e6).alias("t"), F.col("event_id").alias("id"), x.alias("x1"), F.lit(10.0).alias("y1"), (x + 60).alias("x2"), (50 + F.col("value") / 5).alias("y2"))
 
 
 def iou_tracks(spark: SparkSession, d: str) -> DataFrame:
@@ -142,8 +142,9 @@ def iou_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def track_trajectories(spark: SparkSession, d: str) -> DataFrame:
-    found = TR.trajectories(boxes(spark, d), "session_id", "frame", 1920.0)
-    return found.select("session_id", "n", *(F.round(c, 4).alias(c) for c in ("x_drift", "area_growth", "mean_speed")), "approaching")
+    found = TR.trajectories(boxes(spark, d), "session_id", "t", 1920.0)
+    rounded = (F.round(c, 4).alias(c) for c in ("x_drift", "area_growth", "mean_speed", "net_displacement", "duration"))
+    return found.select("session_id", "n", *rounded, "approaching")
 
 
 def object_dynamics(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +179,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 DAILY_SQL = f"SELECT session_id, floor(t / 86400000000)::BIGINT AS day, count(*) AS n FROM ({EVENTS_SQL}) GROUP BY 1, 2"
-BOXES_SQL = f"""SELECT session_id, frame, 4.0::DOUBLE * frame + value / 10 AS x1, 10.0::DOUBLE AS y1, 4.0::DOUBLE * frame + value / 10 + 60 AS x2, 50 + value / 5 AS y2
+BOXES_SQL = f"""SELECT session_id, frame, t / 1e6::DOUBLE AS s, 4.0::DOUBLE * frame + value / 10 AS x1, 10.0::DOUBLE AS y1, 4.0::DOUBLE * frame + value / 10 + 60 AS x2, 50 + value / 5 AS y2
     FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, event_id) AS frame FROM ({EVENTS_SQL}))"""
 
 ORACLES = {
@@ -239,10 +240,11 @@ ORACLES = {
     "previous_next": """SELECT event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     "topic_gaps": f"""WITH e AS (SELECT kind, t, lead(t) OVER (PARTITION BY kind ORDER BY t, event_id) - t AS gap FROM ({EVENTS_SQL})),
         r AS (SELECT kind, (max(t) - min(t)) / (count(*) - 1)::DOUBLE AS period FROM e GROUP BY 1) SELECT e.kind, t, gap FROM e JOIN r ON e.kind = r.kind WHERE gap > 5 * period""",
-    "track_trajectories": f"""WITH b AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (x2 - x1) * (y2 - y1) AS area FROM ({BOXES_SQL})),
-        s AS (SELECT *, coalesce(sqrt(pow(cx - lag(cx) OVER w, 2) + pow(cy - lag(cy) OVER w, 2)), 0) AS step FROM b WINDOW w AS (PARTITION BY session_id ORDER BY frame))
+    "track_trajectories": f"""WITH b AS (SELECT *, (x1 + x2) / 2 AS cx, greatest(1, (x2 - x1) * (y2 - y1)) AS area FROM ({BOXES_SQL})),
+        s AS (SELECT *, sqrt(pow(cx - lag(cx) OVER w, 2) + pow(y2 - lag(y2) OVER w, 2)) / (s - lag(s) OVER w) AS speed FROM b WINDOW w AS (PARTITION BY session_id ORDER BY frame))
         SELECT session_id, count(*) AS n, round((arg_max(cx, frame) - arg_min(cx, frame)) / 1920, 4) AS x_drift, round(arg_max(area, frame) / arg_min(area, frame), 4) AS area_growth,
-               round(avg(step), 4) AS mean_speed, arg_max(area, frame) / arg_min(area, frame) > 1.15 AS approaching FROM s GROUP BY session_id""",
+               round(sum(coalesce(speed, 0)) / count(*), 4) AS mean_speed, round(sqrt(pow(arg_max(cx, frame) - arg_min(cx, frame), 2) + pow(arg_max(y2, frame) - arg_min(y2, frame), 2)), 4) AS net_displacement,
+               round(max(s) - min(s), 4) AS duration, arg_max(area, frame) / arg_min(area, frame) > 1.15 AS approaching FROM s GROUP BY session_id""",
     "object_dynamics": f"""WITH c AS (SELECT event_id, kind, value, lag(value) OVER (PARTITION BY session_id ORDER BY t, event_id) - value AS closing FROM ({EVENTS_SQL})),
         p AS (SELECT *, CASE WHEN abs(closing) <= 150 / 3.6::DOUBLE THEN closing END AS v FROM c), q AS (SELECT *, CASE WHEN v >= 0.5 THEN value / v END AS x FROM p),
         z AS (SELECT *, CASE WHEN x <= 60 THEN x END AS ttc FROM q)

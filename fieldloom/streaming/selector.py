@@ -46,13 +46,13 @@ def distance(a: list[float] | None, b: np.ndarray) -> float:
 
 def decide(s: State, vec: np.ndarray, rare: bool, n_objects: int, p: Policy) -> str | None:
     """Why the frame is kept, or None; moves the state on."""
-    step, first = distance(s.last, vec), s.last is None
-    novelty = distance(s.kept, vec)
+    step, first = round(distance(s.last, vec), 6), s.last is None
+    novelty = round(distance(s.kept, vec), 6)
     s.seen += 1
     s.since += 1
-    threshold = np.percentile(s.steps, 100 * (1 - p.target)) if s.steps else None
     if not first:
         s.steps = [*s.steps, step][-p.window :]
+    threshold = float(np.percentile(np.array(s.steps, np.float32), 100 * (1 - p.target))) if s.steps else None
     s.last = vec.tolist()
     if first:
         why = "first"
