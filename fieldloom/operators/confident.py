@@ -40,7 +40,7 @@ def out_of_fold(rows: DataFrame, folds: int = 5, strength: float = 1.0) -> DataF
         n = sum(sizes.values()) - sizes[fold]
         if not n:
             continue
-        model = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", regParam=1.0 / (strength * n), standardization=False, maxIter=300, tol=1e-8).fit(rest)
+        model = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", regParam=1.0 / (strength * n), standardization=False, maxIter=100, tol=1e-5).fit(rest)
         found = model.transform(rows.where(F.col("fold") == fold)).select("id", "label", "y", vector_to_array("probability").alias("p"))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else rows.select("id", "label", "y", F.array().cast("array<double>").alias("p")).limit(0)
