@@ -256,6 +256,9 @@ COLUMNS = {
     "op7_topk_search": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op8_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op13_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 
@@ -268,7 +271,7 @@ def test_registered_queries(spark, name):
         assert types[column] == kind
     table = "pages" if name == "op4_url_filter" else "documents"
     rows = found.toPandas()
-    if name not in ("op7_topk_search", "op10_packing"):
+    if name not in ("op7_topk_search", "op10_packing", "op11_hard_negatives", "op13_lexical_search"):
         assert len(rows) == queries.table(spark, SF, table).count()
     if name == "op5_pii":
         texts = dict(queries.table(spark, SF, "documents").select("doc_id", "text").collect())
