@@ -35,6 +35,7 @@ def meetings(points: DataFrame, radius: float, rows: int = 512, pivots: int = 64
     """(x, y, same): lists of structs of two blocks that may hold pairs within `radius`; each two blocks once, and each with itself.
 
     `points`: id, v and what else to carry. At most `pivots` vectors and a row for each pivot are on the driver."""
+    pivots = max(1, min(pivots, points.count() // rows))  # small tables are few blocks
     some = points.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
     centres = np.unique(np.array([r["v"] for r in some], float), axis=0) if some else np.zeros((1, 1))
 
