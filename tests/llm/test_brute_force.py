@@ -225,6 +225,40 @@ def test_hot_buckets_are_split(spark, monkeypatch):
     assert found == classes(rows)
 
 
+def test_pairs_at_the_limit_that_share_only_a_large_bucket(spark):
+    """150 pairs of similarity exactly 0.8: all quote one passage, and all edits lie in their own 40 words."""
+    r = random.Random(31)
+    passage = words(r, 80)
+    rows = []
+    for i in range(150):
+        own = [f"{w}{i}" for w in words(r, 40)]
+        other = list(own)
+        for k in r.sample(range(40), 24):
+            other[k] = f"edit{r.randrange(10**9)}"
+        rows += [(2 * i, " ".join(own[:20] + passage + own[20:])), (2 * i + 1, " ".join(other[:20] + passage + other[20:]))]
+    found = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {i: i - i % 2 for i in range(300)}
+
+
+def test_lists_of_rare_words_lose_no_pair(spark, monkeypatch):
+    """Words so few that lists by one word are long, and rounds go on to a second and a third."""
+    monkeypatch.setattr(near_dup, "PAIRWISE", 4)
+    monkeypatch.setattr(near_dup, "sketches", lambda w, orders: near_dup.np.zeros(1, near_dup.np.int64))
+    monkeypatch.setattr(near_dup, "deeper_sketches", lambda w, orders: (near_dup.np.zeros(1, near_dup.np.int64), near_dup.np.arange(2)[None, :] + len(w)))
+    r = random.Random(32)
+    rows = []
+    for i in range(60):
+        text = [f"w{r.randrange(60)}" for _ in range(r.randrange(12, 40))]
+        rows.append((3 * i, " ".join(text)))
+        for k in range(1, 1 + i % 3):
+            changed = list(text)
+            for _ in range(len(text) // 5):
+                changed[r.randrange(len(text))] = f"w{r.randrange(60)}"
+            rows.append((3 * i + k, " ".join(changed)))
+    found = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == classes(rows)
+
+
 def test_bags_bound_the_words_in_common():
     r = np.random.default_rng(29)
     for _ in range(500):
