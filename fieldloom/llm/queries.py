@@ -48,7 +48,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    def count(k: int) -> F.Column:  # k is no parameter of the lambda: its second one would be the span's place
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
     everything = F.array_sort(F.concat("spans", "added"))
     return found.select(
         "doc_id", *counts, F.sha2(pii.written_out(F.col("spans")).cast("binary"), 256).alias("base_sha256"),

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontamination as D
-from fieldloom.llm import langid, near_dup, pii, quality
+from fieldloom.llm import langid, near_dup, pii, quality, queries
 from fieldloom.llm import lm_scoring as LM
 
 SCHEMA = "doc_id long, text string, lang string, block string, label string"
@@ -262,6 +262,13 @@ def test_personal_data(spark):
     assert pii.find_personal_data(frame(spark, [])).collect() == []
 
 
+def test_counts_of_each_kind(spark, tmp_path):
+    texts = ["a@b.co and c@d.example.org", "1.2.3.4", "call +1 (724) 555-7058", "a@b.co, 1.2.3.4, 5.6.7.8 and 4111 1111 1111 1111", "none", None]
+    frame(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: (x["n_email"], x["n_ip"], x["n_card"], x["n_phone"]) for x in queries.op5_pii(spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 0, 0, 0), 1: (0, 1, 0, 0), 2: (0, 0, 0, 1), 3: (1, 2, 1, 0), 4: (0, 0, 0, 0), 5: (0, 0, 0, 0)}
+
+
 def test_a_context_among_many_other_seeds(spark):
     r = random.Random(9)
     rows = [(i, " ".join(words(r, 2) + [f"user{i}@mail.example.com"] + words(r, 2))) for i in range(51_000)]
