@@ -107,12 +107,16 @@ def drop_rate(df: DataFrame, key: str, number: str) -> DataFrame:
 PASS_MIN, QUARANTINE_BELOW = 85.0, 55.0
 
 
-def health(checks: DataFrame, key: str) -> DataFrame:
+def health(checks: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """(key, score, decision, n_failed) from (key, check, weight, level): 100 times the weighed mean of levels, to a tenth.
 
-    A check at level 0 has failed and sets the session aside, whatever the score; so does no weight at all."""
+    A check at level 0 has failed and sets the session aside, whatever the score; so does no weight at all. Levels are
+    added by `order` (or from the least weighed one up): a sum of doubles depends on that, and near half a tenth so does
+    the score. A key has few checks."""
     total = F.sum("weight")
-    score = F.when(total > 0, F.round(100 * F.sum(F.col("weight") * F.col("level")) / total, 1)).otherwise(0.0)
+    term = (F.col("weight") * F.col("level")).alias("term")
+    terms = F.transform(F.array_sort(F.collect_list(F.struct(*([order] if order else []), term))), lambda x: F.coalesce(x["term"], F.lit(0.0)))
+    score = F.when(total > 0, F.round(100 * F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / total, 1)).otherwise(0.0)
     out = checks.groupBy(key).agg(score.alias("score"), F.count(F.when(F.col("level") <= 0, 1)).alias("n_failed"))
     decision = F.when((F.col("n_failed") > 0) | (F.col("score") < QUARANTINE_BELOW), "quarantine").when(F.col("score") >= PASS_MIN, "pass").otherwise("degraded")
     return out.select(key, "score", decision.alias("decision"), "n_failed")

@@ -71,9 +71,9 @@ def frame_drops(spark: SparkSession, d: str) -> DataFrame:
 
 def session_health(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("value") > 1, F.least(F.lit(1.0), F.col("value") / 10)).otherwise(0.0)
-    checks = events(spark, d).select("session_id", F.col("kind").alias("check"), F.when(F.col("kind") == "error", 2.0).otherwise(1.0).alias("weight"), level.alias("level"))
-    means = checks.groupBy("session_id", "check").agg(F.avg("weight").alias("weight"), F.round(F.avg("level"), 6).alias("level"))
-    return L.health(means, "session_id").select("session_id", "score", "decision", "n_failed")
+    checks = events(spark, d).select("session_id", F.col("kind").alias("check"), F.when(F.col("kind") == "error", 2.0).otherwise(1.0).alias("weight"), level.alias("level"), "event_id")
+    means = checks.groupBy("session_id", "check").agg(F.avg("weight").alias("weight"), F.round(F.avg("level"), 6).alias("level"), F.min("event_id").alias("first"))
+    return L.health(means, "session_id", "first").select("session_id", "score", "decision", "n_failed")
 
 
 def voxel_grid(spark: SparkSession, d: str) -> DataFrame:

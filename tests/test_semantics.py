@@ -84,6 +84,17 @@ def test_health_decides_by_score_and_by_failed_checks(spark):
     assert found == {"pass": (85.5, "pass", 0), "worn": (80.0, "degraded", 0), "low": (54.0, "quarantine", 0), "failed": (90.0, "quarantine", 1), "none": (0.0, "quarantine", 0)}
 
 
+def test_health_adds_levels_in_their_order(spark):
+    """The exact score is 97.95: the order of the sum of doubles tells whether it is 97.9 or 98."""
+    levels = list(enumerate([0.986069, 0.935771, 0.984961, 0.993269, 0.99743]))
+    for n in (1, 3):
+        for sign, score in ((1, 97.9), (-1, 98.0)):
+            rows = [("k", sign * i, 1.0, x) for i, x in levels]
+            for given in (rows, rows[::-1]):
+                found = L.health(spark.createDataFrame(given, "k string, first long, weight double, level double").repartition(n), "k", "first").first()
+                assert found["score"] == score
+
+
 @pytest.mark.parametrize("target", [0.05, 0.10, 0.25])
 def test_the_selector_keeps_about_its_target(target):
     """A drive of small and large changes keeps its share; a static camera keeps next to nothing."""
