@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import confident
 from ..operators import detection as D
 from ..operators import smoothing
+from ..operators.graph import cut
 from ..tables import events, table
 
 
@@ -36,7 +37,7 @@ def predicted_boxes(truth: DataFrame) -> DataFrame:
 
 
 def boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    truth = true_boxes(spark, d)
+    truth = cut(true_boxes(spark, d))  # read by both sides
     return predicted_boxes(truth), truth.select("id", "key", "cls", "track", "x1", "y1", "x2", "y2")
 
 
@@ -48,14 +49,14 @@ def detection_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 def detection_ap(spark: SparkSession, d: str) -> DataFrame:
     p, g = boxes(spark, d)
-    found = D.average_precisions(p, g, D.matches(D.overlaps(p, g, 0.5)))
+    found = D.average_precisions(p, g, D.matched(D.overlaps(p, g, 0.5)))
     return found.select("cls", "threshold", "n_truth", "n_predicted", F.round("ap", 6).alias("ap"))
 
 
 def detection_report(spark: SparkSession, d: str) -> DataFrame:
     p, g = boxes(spark, d)
-    pairs = D.overlaps(p, g, 0.5)
-    found = D.report(D.outcomes(p, g, pairs), D.average_precisions(p, g, D.matches(pairs)))
+    pairs = cut(D.overlaps(p, g, 0.5))  # matched twice
+    found = D.report(D.outcomes(p, g, pairs), D.average_precisions(p, g, D.matched(pairs)))
     return found.select("tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "ap50", "ap50_95")))
 
 

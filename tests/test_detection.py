@@ -140,3 +140,21 @@ def test_identities_are_not_used_twice(spark):
     truth = sequence("g1", 3) + sequence("g2", 3, 100.0)
     r, _ = scores(spark, sequence("p", 3) + [(k[0] + 7, *k[1:4], "p", *k[5:]) for k in sequence("p", 3, 100.0)], truth)
     assert r["idf1"] == 0.5 and r["det_a"] == 1.0
+
+
+def test_frames_at_once_and_in_rounds_agree(spark, monkeypatch):
+    pred, truth = crowd(7, wide=90.0)  # many share sides
+    pred = [r[:3] + (None if r[0] % 11 == 0 else r[3],) + r[4:] for r in pred]
+    p, g = frame(spark, pred), frame(spark, truth)
+
+    def found():
+        pairs = D.overlaps(p, g, 0.3)
+        tracks = {tuple(r) for r in D.associated(p, g).collect()}
+        one = {tuple(r) for r in D.matches(pairs, (0.5,), same_class=False).collect()}
+        return {tuple(r) for r in pairs.collect()}, {tuple(r) for r in D.matches(pairs).collect()}, one, tracks
+
+    whole = found()
+    assert all(whole)
+    for name in ("FRAME", "PAIRS"):
+        monkeypatch.setattr(D, name, 20)  # some frames are larger, or all
+        assert found() == whole
