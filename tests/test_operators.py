@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,21 @@ def test_similar_pairs_skip_blocks_far_apart(spark):
     got = {(r["a"], r["b"]) for r in vectors.similar_pairs(df, 0.99, rows=8).collect()}
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
     assert got == {(i, j) for i, a in rows[:90] for j, b in rows[:90] if i < j and cos(a, b) >= 0.99}
+
+
+def test_nearest_of_many_blocks_equal_a_sort(spark, monkeypatch):
+    """Copies tie; blocks are few to a task, so a row's nearest come from several tasks."""
+    monkeypatch.setattr(vectors, "HELD", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(60)]
+    rows += [(60, [0.0, 0.0, 0.0]), (61, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v in rows if v is not None}
+    for k in (1, 3):
+        got = {}
+        for r in vectors.neighbour_blocks(df, None, rows=8, k=k).collect():
+            got.setdefault(r["a"], []).append((-r["similarity"], r["b"]))
+        assert got.keys() == unit.keys()
+        for i, near in got.items():
+            want = sorted(float(-(unit[i] @ v)) for j, v in unit.items() if j != i)[:k]
+            assert np.allclose(sorted(s for s, _ in near), want) and len({b for _, b in near}) == k and i not in {b for _, b in near}
