@@ -27,15 +27,23 @@ def soft_target(uncertainty: Column, floor: float = 0.5) -> Column:
 def consensus(boxes: DataFrame, frame: str, path: str, least: float = 0.5, agree: int = 3) -> DataFrame:
     """(frame, id, n_agree, score, accepted): boxes of one class that overlap across paths, itself counted.
 
-    Boxes meet within their frame only. Score: the confidence of those that agree over that of the frame.
+    Boxes meet within their frame only. Score: the confidence of those that agree over that of the frame. Ids are unique
+    in a frame; boxes with a null frame, id or class don't agree with any. Equal boxes of a path meet others once, with
+    their summed confidence, so a frame's pairs are of its different boxes.
     """
-    a, b = boxes.alias("a"), boxes.alias("b")
+    spot = [frame, "cls", path, "x1", "y1", "x2", "y2"]
+    own = boxes.where(F.col(frame).isNotNull() & F.col("id").isNotNull() & F.col("cls").isNotNull())
+    spots = own.groupBy(*spot).agg(F.sum("conf").alias("conf"))
+    a, b = spots.alias("a"), spots.alias("b")
     box = lambda s: F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    near = (F.col("a.cls") == F.col("b.cls")) & ((F.col(f"a.{path}") != F.col(f"b.{path}")) & (G.iou(box("a"), box("b")) >= least) | (F.col("a.id") == F.col("b.id")))
-    pairs = a.join(b, (F.col(f"a.{frame}") == F.col(f"b.{frame}")) & near)
+    near = (F.col(f"a.{path}") != F.col(f"b.{path}")) & (G.iou(box("a"), box("b")) >= least)
+    pairs = a.join(b, (F.col(f"a.{frame}") == F.col(f"b.{frame}")) & (F.col("a.cls") == F.col("b.cls")) & near)
+    others = pairs.groupBy(*(F.col(f"a.{c}").alias(f"_{c}") for c in spot)).agg(F.count_distinct(F.col(f"b.{path}")).alias("paths"), F.sum("b.conf").alias("others"))
+    found = own.join(others, [own[c] == F.col(f"_{c}") for c in spot], "left")  # a spot with a null has no others
     total = boxes.groupBy(frame).agg(F.sum("conf").alias("total"))
-    found = pairs.groupBy(F.col(f"a.{frame}").alias(frame), F.col("a.id").alias("id")).agg(F.count_distinct(F.col(f"b.{path}")).alias("n_agree"), F.sum("b.conf").alias("mine"))
-    found = found.join(total, frame)
+    mine = F.when(F.col("conf").isNull(), F.col("others")).otherwise(F.col("conf") + F.coalesce("others", F.lit(0.0)))
+    n_agree = F.when(F.col(path).isNull(), 0).otherwise(1) + F.coalesce("paths", F.lit(0).cast("long"))
+    found = found.select(frame, "id", n_agree.cast("long").alias("n_agree"), mine.alias("mine")).join(total, frame)
     return found.select(frame, "id", "n_agree", F.when(F.col("total") > 0, F.col("mine") / F.col("total")).alias("score"), (F.col("n_agree") >= agree).alias("accepted"))
 
 

@@ -117,3 +117,14 @@ def test_the_step_itself_is_in_the_window():
         why = selector.decide(state, np.array([np.cos(angle), np.sin(angle)]), False, 0, policy)
         assert len(state.steps) == k
     assert why == "novel" and state.steps == [round(x, 6) for x in state.steps]
+
+
+def test_consensus_of_equal_boxes(spark):
+    """Copies count as each box does, and don't make pairs of their own: 3 paths of 4000 copies each would be 32 million."""
+    box = "frame long, id long, path long, cls string, x1 double, y1 double, x2 double, y2 double, conf double"
+    boxes = spark.range(12_000).selectExpr("1L AS frame", "id", "id % 3 AS path", "'a' AS cls", "0D AS x1", "0D AS y1", "10D AS x2", "10D AS y2", "0.25D AS conf")
+    more = spark.createDataFrame([(2, 1, 0, "a", 0.0, 0.0, 10.0, 10.0, 0.5), (2, 2, 1, "a", 0.0, 0.0, 10.0, 9.0, 0.5), (2, 3, 2, "b", 0.0, 0.0, 10.0, 10.0, 1.0), (2, 4, 1, None, 0.0, 0.0, 10.0, 10.0, 1.0)], box)
+    found = L.consensus(boxes.unionByName(more), "frame", "path")
+    groups = {tuple(r) for r in found.where("frame = 1").selectExpr("n_agree", "score", "accepted").distinct().collect()}
+    assert groups == {(3, (0.25 + 8000 * 0.25) / 3000, True)} and found.where("frame = 1").count() == 12_000
+    assert sorted(tuple(r) for r in found.where("frame = 2").collect()) == [(2, 1, 2, 1 / 3, False), (2, 2, 2, 1 / 3, False), (2, 3, 1, 1 / 3, False)]
