@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as GR
@@ -184,20 +184,28 @@ def vocabulary_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lake_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, ids and nulls of the three published tables, each under its declared schema."""
-    o = objects(spark, d).join(frames(spark, d), "frame_id").join(sessions(spark, d), "session_id")
+    """Rows, ids and nulls of the three published tables, each under its declared schema. Labels and quality share one
+    pass over the objects, dealt once by their frames and once by their ids."""
+    o = objects(spark, d).join(frames(spark, d).join(sessions(spark, d), "session_id"), "frame_id")
     keyed = o.withColumn("object_id", F.concat_ws("-", "frame_id", "number", "class_id", "track_id"))
     e = events(spark, d)
     reviews = e.where("kind IN ('click', 'purchase')").select(F.col("event_id").alias("review_id"), F.col("session_id").alias("reviewer"), F.col("kind").alias("action"), (F.col("t") * 1000).alias("ts_ns"), F.col("value").alias("time_spent_ms"), F.lit("review").alias("before_state"), F.when(F.col("kind") == "click", "accepted").alias("after_state"))
-    quality = keyed.groupBy("object_id").agg(F.avg("conf").alias("quality"), F.collect_set(F.when(F.col("state") == "R", "returned")).alias("flags"))
-    out = None
-    for name, df in (("labels", keyed.withColumns({"vehicle_id": F.col("vehicle"), "bbox_x1": F.lit(0.0), "bbox_x2": F.col("width"), "bbox_y1": F.lit(0.0), "bbox_y2": F.col("height")})), ("provenance", reviews), ("quality", quality)):
-        table_of = lake.conform(df, lake.TABLES[name])
-        first = table_of.columns[0]
-        rest = F.sum(sum((F.col(c).isNull().cast("long") for c in table_of.columns), F.lit(0).cast("long")))
-        row = table_of.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(first).alias("ids"), rest.alias("nulls")).select(F.lit(name).alias("name"), F.lit(len(table_of.columns)).alias("columns"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+
+    def nulls(df: DataFrame) -> Column:
+        return sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
+
+    labels = lake.conform(keyed.withColumns({"vehicle_id": F.col("vehicle"), "bbox_x1": F.lit(0.0), "bbox_x2": F.col("width"), "bbox_y1": F.lit(0.0), "bbox_y2": F.col("height")}), lake.TABLES["labels"])
+    each = labels.select("object_id", "conf", "state", nulls(labels).alias("_nulls")).groupBy("object_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_nulls").alias("_nulls"), F.avg("conf").alias("quality"), F.collect_set(F.when(F.col("state") == "R", "returned")).alias("flags"),
+    )
+    quality = lake.conform(each, lake.TABLES["quality"])
+    both = each.select("object_id", "_n", "_nulls", *(F.col(c).cast(quality.schema[c].dataType) if c in each.columns else F.lit(None).alias(c) for c in quality.columns if c != "object_id"))
+    both = both.agg(F.sum("_n").alias("n"), F.count("object_id").alias("ids"), F.sum("_nulls").alias("nulls"), F.count(F.lit(1)).alias("n_quality"), F.sum(nulls(both.select(*quality.columns))).alias("nulls_quality"))
+    row = lambda name, n, ids, missing: F.struct(F.lit(name).alias("name"), F.lit(len(lake.TABLES[name].names)).alias("columns"), F.coalesce(n, F.lit(0)).cast("long").alias("n"), F.col(ids).alias("ids"), F.col(missing).alias("nulls"))
+    out = both.select(F.inline(F.array(row("labels", "n", "ids", "nulls"), row("quality", "n_quality", "ids", "nulls_quality"))))
+    table_of = lake.conform(reviews, lake.TABLES["provenance"])
+    found = table_of.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(table_of.columns[0]).alias("ids"), F.sum(nulls(table_of)).alias("nulls"))
+    return out.unionByName(found.select(F.lit("provenance").alias("name"), F.lit(len(table_of.columns)).alias("columns"), "*"))
 
 
 def export_digests(spark: SparkSession, d: str) -> DataFrame:

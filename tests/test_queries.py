@@ -69,3 +69,8 @@ def test_value_score_keeps_its_rows_partitioned(spark):
 
     plan = evaluation.value_score(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_lake_tables_reads_its_objects_once(spark):
+    plan = plans.QUERIES["lake_tables"](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linestatus") and len([line for line in plan.splitlines() if "Relation" in line and "l_orderkey" in line]) == 1
