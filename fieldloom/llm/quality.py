@@ -1,11 +1,10 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of character 4-grams.
 
-The model learns from trusted text: documents labelled good and not toxic, `SAMPLE` of them at most (those whose ids
-hash smallest; a bound on the labelled rows it is fitted to). Every other step covers all documents. Counts, the
-three discounts of each order, continuation counts and probabilities are joins and groupings of n-gram tables in
+The model learns from trusted text: all documents labelled good and not toxic but those kept apart. Counts, the three
+discounts of each order, continuation counts and probabilities are joins and groupings of n-gram tables in
 Spark, each dealt by its n-gram. A document's perplexity is over its characters and its end; it is kept unless that
 exceeds the language's limit, the `QUANTILE` of the perplexities of trusted documents in the language; a quarter of
-the trusted documents, by id, is kept from the sample for that. Languages (or a null lang) with fewer than `ENOUGH` of
+the trusted documents, by id, is kept from the model for that. Languages (or a null lang) with fewer than `ENOUGH` of
 those have the limit of all of them.
 
 While the finished tables hold at most `BROADCAST` n-grams they are broadcast; beyond that, blocks of texts send
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, text_chunks, written
 
 ORDER = 4
-SAMPLE = 20_000
+HELD = 1 << 20  # n-grams whose counts a task holds before it hands them on
 QUANTILE = 0.99
 ENOUGH = 20
 BROADCAST = 4_000_000
@@ -58,7 +57,11 @@ def grams_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, c) of all texts."""
+    """(gram, c) of all texts. A task hands its counts on whenever it holds `HELD` different n-grams."""
+    held = HELD
+
+    def table(keys, counts):
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "c"])
 
     def run(batches):
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -67,7 +70,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 more, n = np.unique(grams_of(data, starts)[0], return_counts=True)
                 keys, at = np.unique(np.append(keys, more), return_inverse=True)
                 counts = np.bincount(at, np.append(counts, n), len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "c"])
+                if len(keys) >= held:
+                    yield table(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+        yield table(keys, counts)
 
     return docs.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -193,12 +199,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id")
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, broadcast: int = BROADCAST) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, lang, perplexity, limit, kept of each row of `docs`."""
     trusted = trusted_ids(labels)
     apart = crc_mod("doc_id", 4) == 0
-    chosen = written(trusted.where(~apart).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "trusted-sample")
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id", "left_semi")
+    chosen = written(trusted.where(~apart), "trusted")
+    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id", "left_semi")
     found = written(perplexities(docs, fit(text.where(F.length("text") > 0)), broadcast), "perplexities")
     of_trusted = found.join(trusted.where(apart), "doc_id", "left_semi").where(F.col("perplexity").isNotNull())
     at = F.percentile_approx("perplexity", quantile, 10_000)

@@ -288,3 +288,20 @@ def test_pattern_counts_that_are_handed_on_in_parts_add_up(spark, monkeypatch):
     monkeypatch.setattr(pii, "HELD", 1)
     assert sorted(map(tuple, pii.pattern_totals(docs, patterns).collect())) == want
     assert sorted(n for _, n in want) == [400, 600, 600]  # the last of three has no word after "now"
+
+
+def test_quality_learns_from_all_trusted_texts(spark, monkeypatch):
+    ids = spark.range(28_000)
+    docs = ids.selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    labels = ids.selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda texts: seen.append(texts.count()) or fit(texts.limit(100)))
+    quality.judge_quality(docs, labels)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 4 != 0 for i in range(28_000))] and seen[0] > 20_000
+
+
+def test_counts_of_grams_that_are_handed_on_in_parts_add_up(spark, monkeypatch):
+    docs = frame(spark, [(i, f"the {i % 7} quick brown foxes") for i in range(60)]).repartition(3)
+    want = sorted(map(tuple, quality.count_grams(docs).collect()))
+    monkeypatch.setattr(quality, "HELD", 1)
+    assert sorted(map(tuple, quality.count_grams(docs).collect())) == want
