@@ -101,6 +101,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, tables: tuple, split=None)
     return h, np.searchsorted(at[begins], starts)
 
 
+def slices(batches, most: int = 1 << 22):
+    """Arrow batches cut into pieces of about `most` bytes, so that what a task makes of one stays small."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_chunks(texts: pa.Array, most: int = 1 << 19):
     """Runs of texts of about `most` bytes: (first row, row after the last, bytes, bounds). Nulls are empty texts."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts

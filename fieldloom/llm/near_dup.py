@@ -23,11 +23,11 @@ in buckets of up to `PAIRWISE` members any two. Larger ones (a passage that many
 loss: two similar texts of which one has n words share all but (1 - SIMILARITY) * n of these, labelled with how often
 they came before, so each lists its rarest ones, one more than it may lose, and they have a listed word in common. Texts
 that list one word are compared as those of a bucket are; where they are many, by a second word in common, and a third
-(lists are longer by one for each; any order of words that all texts go by would do). Lists grow with texts, so those
-over `LISTED` words go by the deeper sketches of the same order instead, of `DEEPER` runs. At each round the members of a
-part are compared with two of its members, chosen by hash, or with each other once the part has few members; parts
-of the last round are compared throughout. Two texts over `LISTED` words that share large buckets only, and no leader
-or part, can miss each other there; shorter ones don't.
+(lists are longer by one for each; any order of words that all texts go by would do). At each round the members of a
+part are compared with two of its members, chosen by hash, or with each other if the part has few members: up to
+`PAIRWISE`, or up to as many as their lists have words left, as a split would make more rows than that. Parts of the last
+round are compared throughout; where these are large, their members first meet the leaders of parts by deeper sketches
+of the same order, of `DEEPER` runs, which joins most copies. So no two texts of one bucket miss each other.
 
 Texts without a word (null, empty, blank) stand alone. A class is named by its smallest doc_id. Rows with one doc_id
 are one document, whose text is the longest of them (of these the one of the largest hash, see `text_rank`); rows with
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import byte_tables, mix, text_chunks, word_hashes, written
+from .common import byte_tables, mix, slices, text_chunks, word_hashes, written
 
 RUN = 5
 SHORT, SHORT_RUN = 75, 3
@@ -56,7 +56,7 @@ SIMILARITY = 0.8
 PAIRWISE = 64
 BROADCAST = 1_000_000
 BITS = 512
-LISTED, ROUNDS = 300, 3
+ROUNDS = 3  # of splits by rare words
 BINS = 1 << 16  # in which words are counted, to tell rare ones
 ROWS = 5_000  # texts for each partition of the small tables that the rounds write
 
@@ -240,7 +240,7 @@ def profiles(docs: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         tables, shuffles, lengths = byte_tables(), orders(), short_lengths(similarity)
         powers = np.ones(1, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             n, h1, h2, bags, bits, marks = [], [], [], [], [], []
             for _, _, data, starts in text_chunks(batch.column("text")):
                 words, bounds = word_hashes(data, starts, tables)
@@ -338,7 +338,7 @@ def words_of(docs: DataFrame, wanted: DataFrame, few=as_is) -> DataFrame:
 
     def shrink(batches):
         tables = byte_tables()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for _, _, data, starts in text_chunks(batch.column("text")):
                 words, bounds = word_hashes(data, starts, tables)
@@ -393,11 +393,13 @@ def of_two_classes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
-def several_classes(members: DataFrame, labels: DataFrame, bitmaps: DataFrame, part: str, few=as_is) -> DataFrame:
-    """Members, with their present labels and bitmaps, of the parts that hold several classes; `n` is the part's size."""
-    now = with_labels(members.drop("n", "bits"), labels)
-    mixed = now.groupBy(part).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    return kept(few, now.join(mixed.select(part, "n"), part).join(bitmaps, "doc_id"), "open")
+def several_classes(members: DataFrame, labels: DataFrame, bitmaps: DataFrame, part: str, few=as_is, left: F.Column | None = None) -> DataFrame:
+    """Members, with their present labels and bitmaps, of the parts that hold several classes. A part is `large` if it has
+    more members than `PAIRWISE`, and than the rows that each of them would make in the next round (`left`)."""
+    now = with_labels(members.drop("large", "bits"), labels)
+    most = F.lit(PAIRWISE) if left is None else F.greatest(F.lit(PAIRWISE), F.avg(left))
+    mixed = now.groupBy(part).agg(F.min("label").alias("low"), F.max("label").alias("high"), (F.count(F.lit(1)) > most).alias("large")).where("low < high")
+    return kept(few, now.join(mixed.select(part, "large"), part).join(bitmaps, "doc_id"), "open")
 
 
 def fit(one: str, other: str, similarity: float) -> F.Column:
@@ -407,12 +409,12 @@ def fit(one: str, other: str, similarity: float) -> F.Column:
 def pairs_to_try(members: DataFrame, part: str, last: bool, similarity: float) -> DataFrame:
     """(a, b) of different classes that share a part: any two where it has few members, else each with two of them."""
     sides = "doc_id", "n_words", "label", "bits"
-    small = members if last else members.where(F.col("n") <= PAIRWISE)
+    small = members if last else members.where(~F.col("large"))
     other = small.select(part, *(F.col(c).alias(f"{c}_1") for c in sides))
     within = small.join(other, part).where("doc_id_1 < doc_id")
     found = [within]
     if not last:
-        large = members.where(F.col("n") > PAIRWISE)
+        large = members.where("large")
         by, one = F.xxhash64("doc_id", F.lit(part)), F.struct(*sides)
         leaders = large.groupBy(part).agg(F.min_by(one, by).alias("x"), F.max_by(one, by).alias("y"))
         leaders = leaders.select(part, F.explode(F.array("x", "y")).alias("one")).select(part, *(F.col(f"one.{c}").alias(f"{c}_1") for c in sides))
@@ -432,7 +434,7 @@ def rare_words(words: DataFrame, similarity: float, few=as_is) -> DataFrame:
 
     def count(batches):
         n = np.zeros(BINS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             n += np.bincount((np.concatenate([np.empty(0, np.uint64), *of(batch)]) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bin", "n"])
@@ -442,7 +444,7 @@ def rare_words(words: DataFrame, similarity: float, few=as_is) -> DataFrame:
         counts[row["bin"]] = row["n"]
 
     def choose(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found, sizes, own = [np.empty(0, np.uint64)], [], of(batch)
             for w in own:
                 by = np.lexsort((w, counts[(w % np.uint64(BINS)).astype(np.int64)]))
@@ -462,6 +464,11 @@ def may_come(round_: int, similarity: float) -> F.Column:
     return F.col("place") < F.floor((1 - similarity) * F.col("n_words") + 1e-9) + round_
 
 
+def words_left(round_: int, similarity: float) -> F.Column:
+    """The listed words that may be a text's next one in common after its `round_`-th."""
+    return F.floor((1 - similarity) * F.col("n_words") + 1e-9) + round_ - F.col("place")
+
+
 def next_words(members: DataFrame, listed: DataFrame, round_: int, similarity: float) -> DataFrame:
     """Members of large parts (doc_id, place, list{round - 1}), each with every later word that may be the next one."""
     later = listed.where(may_come(round_, similarity)).withColumnRenamed("place", "then")
@@ -538,32 +545,34 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     compare(firsts.groupBy("b").agg(nearest).select("a", "b"))
     compare(of_two_classes(firsts.select("a", "b"), labels))
 
-    members, parts = buckets.select("bucket", "doc_id", "n_words"), ["bucket", *(f"part{k}" for k in range(1, len(DEEPER) + 1))]
-    def compare_listed(members: DataFrame) -> None:
-        """Compares members of large buckets by their rare words, those that pair with longer texts' included."""
-        ids = kept(few, members.where(F.col("n_words") <= LISTED / similarity).select("doc_id").distinct(), "listed-ids")
-        listed = rare_words(words_of(docs, ids, few), similarity, few)
+    bitmaps = single.select("doc_id", "bits")
+
+    def meet_leaders(members: DataFrame) -> None:
+        """Compares members of large buckets with the leaders of their deeper parts; all go on."""
+        members = split_deeper(members, docs, few)
+        for k in range(1, len(DEEPER) + 1):
+            compare(pairs_to_try(several_classes(members, labels, bitmaps, f"part{k}", few), f"part{k}", False, similarity))
+
+    def compare_listed(hot: DataFrame) -> None:
+        """Compares members of large buckets by their rare words."""
+        listed = rare_words(words_of(docs, kept(few, hot.select("doc_id").distinct(), "listed-ids"), few), similarity, few)
         members = listed.where(may_come(1, similarity)).withColumnRenamed("word", "list1")
         for k in range(1, ROUNDS + 1):
-            members = several_classes(members, labels, single.select("doc_id", "bits"), f"list{k}", few)
+            members = several_classes(members, labels, bitmaps, f"list{k}", few, words_left(k, similarity))
+            large = members.where("large")
+            if k == ROUNDS and not large.isEmpty():
+                meet_leaders(hot.join(large.select("doc_id").distinct(), "doc_id", "left_semi"))
+                members = several_classes(members, labels, bitmaps, f"list{k}", few)
             compare(pairs_to_try(members, f"list{k}", k == ROUNDS, similarity))
-            members = members.where(F.col("n") > PAIRWISE)
-            if k == ROUNDS or members.isEmpty():
+            if k == ROUNDS or large.isEmpty():
                 break
-            members = next_words(members, listed, k + 1, similarity)
-
-    for part in parts:
-        members = several_classes(members, labels, single.select("doc_id", "bits"), part, few)
-        compare(pairs_to_try(members, part, part == parts[-1], similarity))
-        members = members.where(F.col("n") > PAIRWISE)
-        if part == parts[-1] or members.isEmpty():
-            break
-        if part == "bucket":
-            compare_listed(members)
-            members = members.where(F.col("n_words") > LISTED)
-            if members.isEmpty():
-                break
-            members = split_deeper(members, docs, few)
+            members = next_words(large, listed, k + 1, similarity)
+
+    members = several_classes(buckets.select("bucket", "doc_id", "n_words"), labels, bitmaps, "bucket", few)
+    compare(pairs_to_try(members, "bucket", False, similarity))
+    members = members.where("large")
+    if not members.isEmpty():
+        compare_listed(members)
 
     labels = components(found, most=n_parts).withColumnRenamed("id", "doc_id")
     classes = texts.join(single.select("h1", "h2", F.col("doc_id").alias("one")), ["h1", "h2"], "left")

@@ -240,6 +240,19 @@ def test_pairs_at_the_limit_that_share_only_a_large_bucket(spark):
     assert found == {i: i - i % 2 for i in range(300)}
 
 
+def test_long_pairs_at_the_limit_that_share_only_a_large_bucket(spark):
+    """100 pairs of 500 words and similarity exactly 0.8: all quote one passage, and no run of five words of their own stays."""
+    r = random.Random(33)
+    passage = words(r, 375)
+    rows = []
+    for i in range(100):
+        own = [f"{w}{i}" for w in words(r, 125)]
+        other = [w if k % 5 == 2 else f"edit{r.randrange(10**9)}" for k, w in enumerate(own)]
+        rows += [(2 * i, " ".join(own[:60] + passage + own[60:])), (2 * i + 1, " ".join(other[:60] + passage + other[60:]))]
+    found = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {i: i - i % 2 for i in range(200)}
+
+
 def test_lists_of_rare_words_lose_no_pair(spark, monkeypatch):
     """Words so few that lists by one word are long, and rounds go on to a second and a third."""
     monkeypatch.setattr(near_dup, "PAIRWISE", 4)
