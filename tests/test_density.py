@@ -131,3 +131,14 @@ def test_rare_rows(spark):
     assert got[20][0] == "embedding_outlier" and set(got) == {20}
     small = clusters.withColumn("cluster", F.when(F.col("id") == 7, 7).otherwise(F.col("cluster")))
     assert D.rare_rows(frame, small.where("id <> 6"), 0.99).where("kind = 'sparse_cluster'").collect() == [(7, "sparse_cluster", 1.0)]
+
+
+def test_meetings_are_flat_and_no_table_of_rows_goes_through_the_driver(spark):
+    """Blocks travel as flat arrays, and the plan that meets them has no broadcast of rows."""
+    points = spark.range(4000).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
+    met = D.meetings(points, 0.1, rows=100)
+    assert {t for c, t in met.dtypes if c.endswith(("ids", "values"))} == {"array<bigint>", "array<double>"}
+    assert "SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()
+    rows = met.select("x_block", "y_block", F.size("x_ids").alias("n"), F.size("x_values").alias("m")).collect()
+    assert all(r["m"] == 2 * r["n"] for r in rows)
+    assert len({frozenset((r["x_block"], r["y_block"])) for r in rows}) == len(rows)
