@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, tables: tuple, split=None)
     return h, np.searchsorted(at[begins], starts)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "8m"):
+    """Within it, Arrow batches of what runs are of `most` bytes: batches of Spark's own size, several times over in each
+    task's JVM and Python, are most of what a task holds."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batches, most: int = 1 << 22):
     """Arrow batches cut into pieces of about `most` bytes, so that what a task makes of one stays small."""
     for batch in batches:

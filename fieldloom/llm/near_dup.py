@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import byte_tables, mix, slices, text_chunks, word_hashes, written
+from .common import byte_tables, mix, slices, small_batches, text_chunks, word_hashes, written
 
 RUN = 5
 SHORT, SHORT_RUN = 75, 3
@@ -511,6 +511,11 @@ def split_deeper(members: DataFrame, docs: DataFrame, few=as_is) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), class_size, kept (is the one that stands for its class)."""
+    with small_batches(docs.sparkSession):  # all Arrow steps are written before it ends
+        return classes_of(docs, similarity)
+
+
+def classes_of(docs: DataFrame, similarity: float) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     profile = written(profiles(docs, similarity), "profiles")
     texts = profile.groupBy("doc_id").agg(F.max("rank").alias("rank"), F.max_by(F.struct("n_words", "h1", "h2"), "rank").alias("text")).select("doc_id", "rank", "text.*")

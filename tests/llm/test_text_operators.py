@@ -86,6 +86,22 @@ def test_near_duplicates_of_a_large_group(spark):
     assert all(found[1000 + i] == 1000 + i for i in range(100))
 
 
+def test_batches_are_small_while_near_duplicates_runs(spark):
+    from fieldloom.llm import common
+
+    name, df = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 10000) AS text")
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        yield from (common.pa.RecordBatch.from_arrays([common.pa.array([b.nbytes])], names=["n"]) for b in batches)
+
+    with common.small_batches(spark):
+        assert max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) < 9 << 20
+    assert spark.conf.get(name) == before
+    whole = common.pa.RecordBatch.from_arrays([common.pa.array(["x" * 1000] * 100)], names=["text"])
+    assert [b.num_rows for b in common.slices([whole, whole.slice(0, 0)], 10_000)] == [9] * 11 + [1]
+
+
 def classes(rows):
     """doc_id -> smallest id of its class, by all pairs."""
     label = {i: i for i, _ in rows}
