@@ -22,12 +22,13 @@ most copies. From then on only texts of different classes are compared: each wit
 in buckets of up to `PAIRWISE` members any two. Larger ones (a passage that many texts quote) are split, first without
 loss: two similar texts of which one has n words share all but (1 - SIMILARITY) * n of these, labelled with how often
 they came before, so each lists its rarest ones, one more than it may lose, and they have a listed word in common. Texts
-that list one word are compared as those of a bucket are; where they are many, by a second word in common, and a third
-(lists are longer by one for each; any order of words that all texts go by would do). At each round the members of a
-part are compared with two of its members, chosen by hash, or with each other if the part has few members: up to
-`PAIRWISE`, or up to as many as their lists have words left, as a split would make more rows than that. Parts of the last
-round are compared throughout; where these are large, their members first meet the leaders of parts by deeper sketches
-of the same order, of `DEEPER` runs, which joins most copies. So no two texts of one bucket miss each other.
+that list one word are a part. Parts of up to `PAIRWISE` members are compared throughout. In larger ones each member is
+compared with two of them, chosen by hash; then members of different classes are compared throughout in blocks, where
+bags are held against each other in tasks and only pairs that may be similar become rows, each in one part (see
+`first_parts`). Parts of more than `SPLIT` members for each word that their lists have left are first split by a second
+word in common, and a third (lists are longer by one for each; any order of words that all texts go by would do). Parts
+of the last round are blocks at any size; their members first meet the leaders of parts by deeper sketches of the same
+order, of `DEEPER` runs, which joins most copies. So no two texts of one bucket miss each other.
 
 Texts without a word (null, empty, blank) stand alone. A class is named by its smallest doc_id. Rows with one doc_id
 are one document, whose text is the longest of them (of these the one of the largest hash, see `text_rank`); rows with
@@ -57,6 +58,9 @@ PAIRWISE = 64
 BROADCAST = 1_000_000
 BITS = 512
 ROUNDS = 3  # of splits by rare words
+SPLIT = 200  # a row of a split costs about as much as this many comparisons in a block
+BLOCK, BLOCK_WORDS = 512, 1 << 22  # members of a block, and their words
+FIRST = 8  # of a text's large parts, by which a pair is known to meet elsewhere
 BINS = 1 << 16  # in which words are counted, to tell rare ones
 ROWS = 5_000  # texts for each partition of the small tables that the rounds write
 
@@ -394,35 +398,109 @@ def of_two_classes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def several_classes(members: DataFrame, labels: DataFrame, bitmaps: DataFrame, part: str, few=as_is, left: F.Column | None = None) -> DataFrame:
-    """Members, with their present labels and bitmaps, of the parts that hold several classes. A part is `large` if it has
-    more members than `PAIRWISE`, and than the rows that each of them would make in the next round (`left`)."""
-    now = with_labels(members.drop("large", "bits"), labels)
-    most = F.lit(PAIRWISE) if left is None else F.greatest(F.lit(PAIRWISE), F.avg(left))
-    mixed = now.groupBy(part).agg(F.min("label").alias("low"), F.max("label").alias("high"), (F.count(F.lit(1)) > most).alias("large")).where("low < high")
-    return kept(few, now.join(mixed.select(part, "large"), part).join(bitmaps, "doc_id"), "open")
+    """Members, with their present labels and bitmaps, of the parts that hold several classes, and of each part its
+    `size`, `blocks`, and whether it is `large` (more than `PAIRWISE` members) and worth a `split` (more than `SPLIT` for
+    each of the rows that a member would make in the next round, `left`)."""
+    now = with_labels(members.drop("size", "blocks", "large", "split", "bits"), labels)
+    size = F.count(F.lit(1))
+    split = F.lit(True) if left is None else size > SPLIT * F.avg(left)
+    about = size.alias("size"), F.ceil(F.greatest(size / BLOCK, F.sum("n_words") / BLOCK_WORDS)).alias("blocks"), (size > PAIRWISE).alias("large"), ((size > PAIRWISE) & split).alias("split")
+    mixed = now.groupBy(part).agg(F.min("label").alias("low"), F.max("label").alias("high"), *about).where("low < high")
+    return kept(few, now.join(mixed.drop("low", "high"), part).join(bitmaps, "doc_id"), "open")
 
 
 def fit(one: str, other: str, similarity: float) -> F.Column:
     return F.least(one, other) >= similarity * F.greatest(one, other) - 1e-9
 
 
-def pairs_to_try(members: DataFrame, part: str, last: bool, similarity: float) -> DataFrame:
+def pairs_to_try(members: DataFrame, part: str, similarity: float) -> DataFrame:
     """(a, b) of different classes that share a part: any two where it has few members, else each with two of them."""
     sides = "doc_id", "n_words", "label", "bits"
-    small = members if last else members.where(~F.col("large"))
-    other = small.select(part, *(F.col(c).alias(f"{c}_1") for c in sides))
-    within = small.join(other, part).where("doc_id_1 < doc_id")
-    found = [within]
-    if not last:
-        large = members.where("large")
-        by, one = F.xxhash64("doc_id", F.lit(part)), F.struct(*sides)
-        leaders = large.groupBy(part).agg(F.min_by(one, by).alias("x"), F.max_by(one, by).alias("y"))
-        leaders = leaders.select(part, F.explode(F.array("x", "y")).alias("one")).select(part, *(F.col(f"one.{c}").alias(f"{c}_1") for c in sides))
-        found.append(large.join(leaders, part))
+    small, large = members.where(~F.col("large")), members.where("large")
+    within = small.join(small.select(part, *(F.col(c).alias(f"{c}_1") for c in sides)), part).where("doc_id_1 < doc_id")
+    by, one = F.xxhash64("doc_id", F.lit(part)), F.struct(*sides)
+    leaders = large.groupBy(part).agg(F.min_by(one, by).alias("x"), F.max_by(one, by).alias("y"))
+    leaders = leaders.select(part, F.explode(F.array("x", "y")).alias("one")).select(part, *(F.col(f"one.{c}").alias(f"{c}_1") for c in sides))
     may = fit("n_words", "n_words_1", similarity) & few_bits_differ("bits", "bits_1", "n_words", "n_words_1", similarity)
-    pairs = [p.where((F.col("label") != F.col("label_1")) & may) for p in found]
+    pairs = [p.where((F.col("label") != F.col("label_1")) & may) for p in (within, large.join(leaders, part))]
     pairs = [p.select(F.least("doc_id", "doc_id_1").alias("a"), F.greatest("doc_id", "doc_id_1").alias("b")) for p in pairs]
-    return (pairs[0] if last else pairs[0].union(pairs[1])).distinct()
+    return pairs[0].union(pairs[1]).distinct()
+
+
+def first_parts(members: DataFrame, part: str) -> DataFrame:
+    """(doc_id, firsts): the first `FIRST` parts of each text, the largest first. Two texts with a common part among
+    these before a given one, in this order of all parts, meet there and need not meet in the given one."""
+    parts = F.sort_array(F.collect_list(F.struct(-F.col("size"), part)))
+    return members.groupBy("doc_id").agg(F.slice(parts, 1, FIRST).getField(part).alias("firsts"))
+
+
+def meet_before(firsts: list[list[int]], part: int) -> np.ndarray:
+    """Of each two texts, whether they meet in a part before this one."""
+    before = [x[: x.index(part)] if part in x else x for x in firsts]
+    at = {p: k for k, p in enumerate({p for x in before for p in x})}
+    has = np.zeros((len(before), max(1, len(at))), np.float32)
+    for k, x in enumerate(before):
+        has[k, [at[p] for p in x]] = 1
+    return has @ has.T > 0
+
+
+def folded(bins: np.ndarray, to: int) -> np.ndarray:
+    while bins.shape[1] > to:
+        half = bins.shape[1] // 2
+        bins = bins[:, :half] + bins[:, half:]
+    return bins
+
+
+def pairs_of_block(ids: np.ndarray, labels: np.ndarray, n: np.ndarray, bags: list, apart: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of each two texts of different classes that are not `apart` and may be similar, by `common_at_most`."""
+    names, which = np.unique(labels, return_inverse=True)
+    others = np.flatnonzero(which != np.bincount(which).argmax())  # any such pair has one end outside the largest class
+    least, most = np.minimum.outer(n, n), np.maximum.outer(n, n)
+    try_ = ~apart & (labels[:, None] != labels[None, :]) & (least >= similarity * most - 1e-9)
+    other = np.zeros(len(ids), bool)
+    other[others] = True
+    try_ &= ~(other[:, None] & other[None, :]) | (ids[:, None] < ids[None, :])
+    needed = most - ((1 - similarity) * most + 1e-9).astype(np.int64)
+    rest = np.array([int(np.frombuffer(b, np.uint32, 1)[0]) for b in bags])
+    width = np.array([2 * (len(b) - 4) for b in bags])
+    place, counts = np.empty(len(ids), np.int64), {}
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        half = np.stack([np.frombuffer(bags[k], np.uint8, offset=4) for k in rows])
+        place[rows], counts[w] = np.arange(len(rows)), np.concatenate([half & 15, half >> 4], axis=1).astype(np.uint16)
+    found = [np.empty((2, 0), np.int64)]
+    for k in others.tolist():
+        own = counts[int(width[k])][place[k]][None, :]
+        for w, bins in counts.items():
+            rows = np.flatnonzero(try_[k] & (width == w))
+            if len(rows):
+                to = min(w, int(width[k]))
+                common = np.minimum(folded(bins[place[rows]], to), folded(own, to)).sum(axis=1, dtype=np.int64)
+                common += np.minimum(rest[rows], rest[k]) if w == width[k] else rest[rows] + rest[k]
+                rows = rows[common >= needed[k, rows]]
+                found.append(np.stack([np.full(len(rows), k), rows]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def pairs_across_blocks(members: DataFrame, part: str, bags: DataFrame, similarity: float, few=as_is) -> DataFrame:
+    """(a, b) of different classes that share a part and may be similar: each part's members are dealt into blocks, and
+    any two blocks meet in a group of at most twice a block."""
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    sides = members.select(part, "doc_id", "n_words", "label", "blocks", block.alias("block"))
+    sides = sides.join(first_parts(members, part), "doc_id").join(bags.select("doc_id", "bag"), "doc_id")
+    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    sides = sides.withColumn("with", meets).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+
+    def run(key, rows):
+        ids, labels, n, block = (rows.column(c).to_numpy() for c in ("doc_id", "label", "n_words", "block"))
+        apart = meet_before(rows.column("firsts").to_pylist(), key[0].as_py())
+        if key[1] != key[2]:
+            apart |= block[:, None] == block[None, :]
+        x, y = pairs_of_block(ids, labels, n, rows.column("bag").to_pylist(), apart, similarity)
+        return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
+
+    sides = sides.select(part, "i", "j", "doc_id", "n_words", "label", "block", "firsts", "bag")
+    return sides.groupBy(part, "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def rare_words(words: DataFrame, similarity: float, few=as_is) -> DataFrame:
@@ -556,7 +634,7 @@ def classes_of(docs: DataFrame, similarity: float) -> DataFrame:
         """Compares members of large buckets with the leaders of their deeper parts; all go on."""
         members = split_deeper(members, docs, few)
         for k in range(1, len(DEEPER) + 1):
-            compare(pairs_to_try(several_classes(members, labels, bitmaps, f"part{k}", few), f"part{k}", False, similarity))
+            compare(pairs_to_try(several_classes(members, labels, bitmaps, f"part{k}", few), f"part{k}", similarity))
 
     def compare_listed(hot: DataFrame) -> None:
         """Compares members of large buckets by their rare words."""
@@ -564,17 +642,21 @@ def classes_of(docs: DataFrame, similarity: float) -> DataFrame:
         members = listed.where(may_come(1, similarity)).withColumnRenamed("word", "list1")
         for k in range(1, ROUNDS + 1):
             members = several_classes(members, labels, bitmaps, f"list{k}", few, words_left(k, similarity))
-            large = members.where("large")
-            if k == ROUNDS and not large.isEmpty():
-                meet_leaders(hot.join(large.select("doc_id").distinct(), "doc_id", "left_semi"))
-                members = several_classes(members, labels, bitmaps, f"list{k}", few)
-            compare(pairs_to_try(members, f"list{k}", k == ROUNDS, similarity))
-            if k == ROUNDS or large.isEmpty():
+            compare(pairs_to_try(members, f"list{k}", similarity))
+            members = members.where("large")
+            if k == ROUNDS and not members.isEmpty():
+                meet_leaders(hot.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+            members = several_classes(members, labels, bitmaps, f"list{k}", few, words_left(k, similarity))
+            here = members if k == ROUNDS else members.where(~F.col("split"))
+            if not here.isEmpty():
+                compare(pairs_across_blocks(here, f"list{k}", bags, similarity, few))
+            members = members.where("split")
+            if k == ROUNDS or members.isEmpty():
                 break
-            members = next_words(large, listed, k + 1, similarity)
+            members = next_words(members, listed, k + 1, similarity)
 
     members = several_classes(buckets.select("bucket", "doc_id", "n_words"), labels, bitmaps, "bucket", few)
-    compare(pairs_to_try(members, "bucket", False, similarity))
+    compare(pairs_to_try(members, "bucket", similarity))
     members = members.where("large")
     if not members.isEmpty():
         compare_listed(members)

@@ -6,6 +6,7 @@ import collections
 import math
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -272,6 +273,66 @@ def test_lists_of_rare_words_lose_no_pair(spark, monkeypatch):
     assert found == classes(rows)
 
 
+@pytest.mark.parametrize("split", [0, 200])
+def test_blocks_of_large_parts_lose_no_pair(spark, monkeypatch, split):
+    """Parts of several blocks, in the first round (200) or in the last one of three (0)."""
+    for name, value in (("PAIRWISE", 4), ("BLOCK", 5), ("FIRST", 2), ("SPLIT", split)):
+        monkeypatch.setattr(near_dup, name, value)
+    monkeypatch.setattr(near_dup, "sketches", lambda w, orders: near_dup.np.zeros(1, near_dup.np.int64))
+    monkeypatch.setattr(near_dup, "deeper_sketches", lambda w, orders: (near_dup.np.zeros(1, near_dup.np.int64), near_dup.np.arange(2)[None, :] + len(w)))
+    r = random.Random(34)
+    rows = []
+    for i in range(40):
+        text = [f"w{r.randrange(40)}" for _ in range(r.randrange(12, 40))]
+        rows.append((3 * i, " ".join(text)))
+        for k in range(1, 1 + i % 3):
+            changed = list(text)
+            for _ in range(len(text) // 5):
+                changed[r.randrange(len(text))] = f"w{r.randrange(40)}"
+            rows.append((3 * i + k, " ".join(changed)))
+    found = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == classes(rows)
+
+
+def test_texts_that_share_many_rare_words_make_few_rows(spark, monkeypatch):
+    """A passage, some of its words in another order in each text: each two texts share many listed words, few are alike."""
+    r = random.Random(35)
+    quoted, passage = words(r, 60), [f"p{k}" for k in range(160)]
+    rows = []
+    for i in range(100):
+        own = quoted + [f"o{i}x{k}" for k in range(30)] + r.sample(passage, 160)
+        rows.append((2 * i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join([*own[:-20], *(f"e{i}x{k}" for k in range(20))])))
+    made, kept = {}, near_dup.kept
+
+    def counted(few, df, name):
+        out = kept(few, df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "kept", counted)
+    found = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows}
+    assert made["open"] <= made["rare-words"]
+
+
+def test_pairs_of_a_block_are_those_that_bags_allow():
+    r = np.random.default_rng(36)
+    texts = [mix(r.integers(0, 30, n).astype(np.uint64)) for n in (10, 12, 30, 33, 34, 36, 40, 60, 64, 66, 70, 70) for _ in range(2)]
+    bags, n, labels = [near_dup.bag_of(t) for t in texts], np.array([len(t) for t in texts]), r.integers(0, 5, len(texts))
+    firsts = [r.permutation(6)[:2].tolist() for _ in texts]
+    apart = near_dup.meet_before(firsts, 9)
+    x, y = near_dup.pairs_of_block(np.arange(len(texts)), labels, n, bags, apart, 0.5)
+    want = set()
+    for i, j in combinations(range(len(texts)), 2):
+        most = int(max(n[i], n[j]))
+        assert apart[i, j] == bool(set(firsts[i]) & set(firsts[j]))
+        if not apart[i, j] and labels[i] != labels[j] and min(n[i], n[j]) >= 0.5 * most and near_dup.common_at_most(bags[i], bags[j]) >= most - near_dup.edit_limit(most, 0.5):
+            want.add((i, j))
+    assert want and sorted(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) == sorted(want)
+
+
 def test_bags_bound_the_words_in_common():
     r = np.random.default_rng(29)
     for _ in range(500):
