@@ -84,6 +84,39 @@ def test_several_objects_under_one_id_are_refused(spark):
     assert S.smooth_tracks(df.limit(0)).count() == 0
 
 
+def test_tracks_side_by_side_equal_each_alone(spark, monkeypatch):
+    """Tracks of many lengths, more than a block holds, in few passes: steps grow with the longest tracks, not with all."""
+    rng, rows, want, calls = np.random.default_rng(3), [], {}, []
+    for k, n in enumerate([3, 3, 4, 5, 8, 9, 17, 20, 40, 90, 1, 2] * 3):
+        boxes, seconds = line(n, off={n // 2: 50.0}) + rng.normal(size=(n, 4)) * 2, np.cumsum(rng.choice([0.033, 0.1, 0.333], n))
+        rows += [(k, float(t), *map(float, b)) for t, b in zip(seconds, boxes, strict=True)]
+        want[k] = S.smoothed(boxes, seconds) if n >= 3 and not S.incoherent(boxes) else None
+    together = S.smoothed_together
+    monkeypatch.setattr(S, "smoothed_together", lambda z, *more: calls.append(z.shape[1]) or together(z, *more))
+    boxes = np.array([r[2:] for r in rows])
+    sizes = np.array([sum(r[0] == k for r in rows) for k in want])
+    some = np.flatnonzero(sizes >= 3)
+    S.smoothed_block(boxes, np.array([r[1] for r in rows]), (np.cumsum(sizes) - sizes)[some], sizes[some])
+    assert sum(calls) == len(some) and len(calls) <= 6
+    monkeypatch.undo()
+    monkeypatch.setattr(S, "BLOCK", 50)
+    found = S.smooth_tracks(spark.createDataFrame(rows, "track long, t double, x1 double, y1 double, x2 double, y2 double").repartition(3)).toPandas().sort_values(["track", "t"])
+    assert len(found) == len(rows)
+    for k, (track, own) in zip(want, found.groupby("track"), strict=True):
+        assert track == k and own.smoothed.all() == (want[k] is not None)
+        if want[k] is not None:
+            z, std, gated = want[k]
+            assert ((own.sx1 + own.sx2) / 2).to_numpy() == pytest.approx(z[:, 0], abs=1e-12)
+            assert own["std"].to_numpy() == pytest.approx(std, abs=1e-12) and own.gated.tolist() == gated.tolist()
+
+
+def test_equal_boxes_at_one_time_follow_the_other_columns(spark):
+    rows = [(k, "a", 0.1 * (k // 2), *b) for k, b in enumerate(np.repeat(line(10), 2, axis=0).tolist())]
+    schema = "id long, track string, t double, x1 double, y1 double, x2 double, y2 double"
+    one, other = ({r["id"]: tuple(r) for r in S.smooth_tracks(spark.createDataFrame(x, schema).coalesce(1)).collect()} for x in (rows, rows[::-1]))
+    assert one == other
+
+
 def planted(seed, n=300, wrong=0.08):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(4, 8)) * 1.2
