@@ -66,17 +66,16 @@ def rigid_drift(pairs: DataFrame, rig: str = "rig", least: int = LEAST_PAIRS) ->
     """(rig, n, rotation, shift, rotation_deg, translation_m, residual, severity, confidence) of the rigid motion that best
     takes points (sx, sy, sz) to their partners (dx, dy, dz).
 
-    Means are one aggregate, the moments about them another; a rig's row of 17 numbers is decomposed alone. With fewer than
+    Means and the moments about them are one aggregate, so points are read once and only partial sums are shuffled; a rig's
+    row of 17 numbers is decomposed alone. With fewer than
     `least` pairs nothing is estimated: severity ok, confidence low. Points in a line, or all in one spot, leave a
     rotation open, which is then the one found first."""
     ends = [f"{e}{c}" for e in "sd" for c in "xyz"]
     pairs = pairs.where(finite(*ends) & F.col(rig).isNotNull()).select(rig, *(F.col(c).cast("double") for c in ends))
-    means = pairs.groupBy(rig).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m_{c}") for c in ends))
-    about = pairs.join(means, rig).select(rig, *(F.col(c) - F.col(f"m_{c}") if c != rig else c for c in ends))
-    about = about.toDF(rig, *ends)
-    cross = [F.sum(F.col(f"s{i}") * F.col(f"d{j}")) for i in "xyz" for j in "xyz"]
-    spread = [sum(F.sum(F.col(f"{e}{c}") * F.col(f"{e}{c}")) for c in "xyz") for e in "sd"]
-    moments = about.groupBy(rig).agg(F.array(*cross).alias("h"), F.array(*spread).alias("e")).join(means, rig)
+    n = F.count(F.lit(1))
+    cross = [n * F.covar_pop(f"s{i}", f"d{j}") for i in "xyz" for j in "xyz"]
+    spread = [n * sum(F.var_pop(f"{e}{c}") for c in "xyz") for e in "sd"]
+    moments = pairs.groupBy(rig).agg(n.alias("n"), *(F.avg(c).alias(f"m_{c}") for c in ends), F.array(*cross).alias("h"), F.array(*spread).alias("e"))
 
     def solve(batches):
         for rows in batches:

@@ -85,6 +85,13 @@ def test_planted_rotations_come_back(spark):
     assert np.linalg.det(np.array(found["mirror"]["rotation"]).reshape(3, 3)) == pytest.approx(1.0) and found["mirror"]["residual"] > 0.1
 
 
+def test_points_are_read_once_and_only_sums_are_shuffled(spark, capsys):
+    df = spark.range(100).selectExpr("id % 3 AS rig", *(f"double(id * {k}) AS {c}" for k, c in enumerate(("sx", "sy", "sz", "dx", "dy", "dz"), 1)))
+    rigs.rigid_drift(df).explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and plan.count("Exchange") == 1 and plan.count("Range") == 1
+
+
 def test_consensus_weighs_sessions(spark):
     rows = [("r", 1.0, 2.0, 3.0, 0.1, 0.2, 0.3, 0.5), ("r", 3.0, 2.0, 3.0, 0.1, 0.2, 0.3, 1.5), ("r", 99.0, 2.0, 3.0, 0.1, 0.2, 0.3, 0.0), ("r", None, 2.0, 3.0, 0.1, 0.2, 0.3, 1.0), ("s", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0)]
     found = {r["rig"]: r for r in rigs.calibration_consensus(spark.createDataFrame(rows, "rig string, roll double, pitch double, yaw double, x double, y double, z double, confidence double")).collect()}
