@@ -22,10 +22,9 @@ most copies. From then on only texts of different classes are compared: each wit
 in buckets of up to `PAIRWISE` members any two. Larger ones (a passage that many texts quote) are split, first without
 loss: two similar texts of which one has n words share all but (1 - SIMILARITY) * n of these, labelled with how often
 they came before, so each lists its rarest ones, one more than it may lose, and they have a listed word in common. Texts
-that list one word are a part. Parts of up to `PAIRWISE` members are compared throughout. In larger ones each member is
-compared with two of them, chosen by hash; then members of different classes are compared throughout in blocks, where
-bags are held against each other in tasks and only pairs that may be similar become rows, each in one part (see
-`first_parts`). Parts of more than `SPLIT` members for each word that their lists have left are first split by a second
+that list one word are a part. In parts of more than `PAIRWISE` members each is compared with two of them, chosen by
+hash; then members of different classes are compared throughout, those of large parts in blocks, inside tasks: no pair
+becomes a row but those that join classes (see `links_in_parts`). Parts of more than `SPLIT` members for each word that their lists have left are first split by a second
 word in common, and a third (lists are longer by one for each; any order of words that all texts go by would do). Parts
 of the last round are blocks at any size; their members first meet the leaders of parts by deeper sketches of the same
 order, of `DEEPER` runs, which joins most copies. So no two texts of one bucket miss each other.
@@ -60,7 +59,8 @@ BITS = 512
 ROUNDS = 3  # of splits by rare words
 SPLIT = 200  # a row of a split costs about as much as this many comparisons in a block
 BLOCK, BLOCK_WORDS = 512, 1 << 22  # members of a block, and their words
-FIRST = 8  # of a text's large parts, by which a pair is known to meet elsewhere
+FIRST = 8  # of a text's parts, by which a pair is known to meet elsewhere
+DECK = 8_000  # members of small parts that are compared together
 BINS = 1 << 16  # in which words are counted, to tell rare ones
 ROWS = 5_000  # texts for each partition of the small tables that the rounds write
 
@@ -482,25 +482,87 @@ def pairs_of_block(ids: np.ndarray, labels: np.ndarray, n: np.ndarray, bags: lis
     return tuple(np.concatenate(found, axis=1))
 
 
-def pairs_across_blocks(members: DataFrame, part: str, bags: DataFrame, similarity: float, few=as_is) -> DataFrame:
-    """(a, b) of different classes that share a part and may be similar: each part's members are dealt into blocks, and
-    any two blocks meet in a group of at most twice a block."""
+def pairs_of_small_parts(parts: np.ndarray, ids: np.ndarray, labels: np.ndarray, n: np.ndarray, bits: np.ndarray, bags: list, firsts: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of each two texts of different classes that share a part, not one before it, and may be similar, by
+    their bitmaps and `common_at_most`."""
+    by = np.lexsort((ids, parts))
+    parts, ids, labels, n, bits = parts[by], ids[by], labels[by], n[by], bits[by]
+    before = [frozenset(x[: x.index(p)] if p in x else x) for p, x in zip(parts.tolist(), (firsts[k] for k in by.tolist()), strict=True)]
+    found, apart = [], 1
+    while apart < len(ids) and (same := parts[apart:] == parts[:-apart]).any():
+        x = np.flatnonzero(same & (labels[apart:] != labels[:-apart]))
+        y = x + apart
+        most = np.maximum(n[x], n[y])
+        edits = ((1 - similarity) * most + 1e-9).astype(np.int64)
+        may = (np.minimum(n[x], n[y]) >= similarity * most - 1e-9) & (np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= 2 * edits)
+        for a, b, least in zip(x[may].tolist(), y[may].tolist(), (most - edits)[may].tolist(), strict=True):
+            if before[a].isdisjoint(before[b]) and common_at_most(bags[by[a]], bags[by[b]]) >= least:
+                found.append((by[a], by[b]))
+        apart += 1
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def links_within(x: np.ndarray, y: np.ndarray, ids: np.ndarray, labels: np.ndarray, words: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) among the pairs of places that join all classes which any similar pair joins: fewer than classes."""
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in above:
+            c = above[c]
+        return c
+
+    found = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = top(int(labels[i])), top(int(labels[j]))
+        if p != q and alike(np.frombuffer(words[i], np.uint32), np.frombuffer(words[j], np.uint32), similarity):
+            above[max(p, q)] = min(p, q)
+            found.append(tuple(sorted((int(ids[i]), int(ids[j])))))
+    return found
+
+
+def links_in_parts(members: DataFrame, part: str, bags: DataFrame, docs: DataFrame, similarity: float, few=as_is) -> DataFrame:
+    """(a, b): links that join the classes of all similar texts which share a part. Pairs are found and aligned inside
+    tasks and are no rows: a first pass tells the members that have a pair to align, a second has only their words.
+
+    Members of a large part are dealt into blocks, and any two blocks meet in a group of at most twice a block; small
+    parts are dealt into groups of many. In both passes a pair meets in one part (see `first_parts`)."""
+    size = members.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_words").alias("words")).first()
+    decks = max(8, (size["rows"] or 0) // DECK, (size["words"] or 0) // BLOCK_WORDS)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    sides = members.select(part, "doc_id", "n_words", "label", "blocks", block.alias("block"))
+    sides = members.select(F.col(part).alias("part"), "doc_id", "n_words", "label", "bits", "blocks", "large", block.alias("block"))
     sides = sides.join(first_parts(members, part), "doc_id").join(bags.select("doc_id", "bag"), "doc_id")
-    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    sides = sides.withColumn("with", meets).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-
-    def run(key, rows):
-        ids, labels, n, block = (rows.column(c).to_numpy() for c in ("doc_id", "label", "n_words", "block"))
-        apart = meet_before(rows.column("firsts").to_pylist(), key[0].as_py())
+    large = sides.where("large").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = large.withColumns({"deck": F.col("part"), "i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with")
+    none = F.lit(-1).cast("long")
+    small = sides.where("not large").withColumns({"deck": F.pmod(F.xxhash64("part"), F.lit(decks)), "i": none, "j": none})
+    columns = "deck", "i", "j", "part", "doc_id", "n_words", "label", "block", "bits", "firsts", "bag"
+    dealt = large.select(*columns).unionByName(small.select(*columns))
+
+    def pairs(key, rows):
+        part, ids, labels, n, block = (rows.column(c).to_numpy() for c in ("part", "doc_id", "label", "n_words", "block"))
+        bags, firsts = rows.column("bag").to_pylist(), rows.column("firsts").to_pylist()
+        if key[1].as_py() < 0:
+            bits = rows.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64)
+            return pairs_of_small_parts(part, ids, labels, n, bits, bags, firsts, similarity)
+        apart = meet_before(firsts, key[0].as_py())
         if key[1] != key[2]:
             apart |= block[:, None] == block[None, :]
-        x, y = pairs_of_block(ids, labels, n, rows.column("bag").to_pylist(), apart, similarity)
-        return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
+        return pairs_of_block(ids, labels, n, bags, apart, similarity)
+
+    def hopeful(key, rows):
+        at = np.unique(np.concatenate(pairs(key, rows)))
+        return pa.table({**{c: pa.array(np.full(len(at), k.as_py(), np.int64)) for c, k in zip("deck i j".split(), key, strict=True)}, **{c: rows.column(c).take(pa.array(at)) for c in columns[3:]}})
 
-    sides = sides.select(part, "i", "j", "doc_id", "n_words", "label", "block", "firsts", "bag")
-    return sides.groupBy(part, "i", "j").applyInArrow(run, "a long, b long").distinct()
+    def align(key, rows):
+        x, y = pairs(key, rows)
+        links = links_within(x, y, *(rows.column(c).to_numpy() for c in ("doc_id", "label")), rows.column("words").to_pylist(), similarity)
+        return pa.table({c: pa.array([link[k] for link in links], pa.int64()) for k, c in enumerate("ab")})
+
+    keys = "deck", "i", "j"
+    left = dealt.groupBy(*keys).applyInArrow(hopeful, "deck long, i long, j long, part long, doc_id long, n_words long, label long, block long, bits array<long>, firsts array<long>, bag binary")
+    left = kept(few, left, "hopeful-members")
+    words = words_of(docs, kept(few, left.select("doc_id").distinct(), "wanted"), few)
+    return left.join(words, "doc_id").groupBy(*keys).applyInArrow(align, "a long, b long").distinct()
 
 
 def rare_words(words: DataFrame, similarity: float, few=as_is) -> DataFrame:
@@ -618,12 +680,17 @@ def classes_of(docs: DataFrame, similarity: float) -> DataFrame:
 
     def compare(pairs: DataFrame) -> None:
         """Adds the links among the pairs that were not compared before."""
-        nonlocal tried, found, labels
+        nonlocal tried
         pairs = kept(few, pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             hopeful = kept(few, promising(pairs, bags, similarity, few), "hopeful")
-            new = kept(few, verified(hopeful, docs, similarity, few), "links")
-            tried, found, labels = tried.union(pairs), found.union(new), lower_labels(labels, new, few)
+            tried = tried.union(pairs)
+            add(verified(hopeful, docs, similarity, few))
+
+    def add(links: DataFrame) -> None:
+        nonlocal found, labels
+        new = kept(few, links, "links")
+        found, labels = found.union(new), lower_labels(labels, new, few)
 
     compare(firsts.groupBy("b").agg(nearest).select("a", "b"))
     compare(of_two_classes(firsts.select("a", "b"), labels))
@@ -642,14 +709,14 @@ def classes_of(docs: DataFrame, similarity: float) -> DataFrame:
         members = listed.where(may_come(1, similarity)).withColumnRenamed("word", "list1")
         for k in range(1, ROUNDS + 1):
             members = several_classes(members, labels, bitmaps, f"list{k}", few, words_left(k, similarity))
-            compare(pairs_to_try(members, f"list{k}", similarity))
-            members = members.where("large")
-            if k == ROUNDS and not members.isEmpty():
-                meet_leaders(hot.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+            large = members.where("large")
+            compare(pairs_to_try(large, f"list{k}", similarity))
+            if k == ROUNDS and not large.isEmpty():
+                meet_leaders(hot.join(large.select("doc_id").distinct(), "doc_id", "left_semi"))
             members = several_classes(members, labels, bitmaps, f"list{k}", few, words_left(k, similarity))
             here = members if k == ROUNDS else members.where(~F.col("split"))
             if not here.isEmpty():
-                compare(pairs_across_blocks(here, f"list{k}", bags, similarity, few))
+                add(links_in_parts(here, f"list{k}", bags, docs, similarity, few))
             members = members.where("split")
             if k == ROUNDS or members.isEmpty():
                 break

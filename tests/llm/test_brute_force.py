@@ -333,6 +333,49 @@ def test_pairs_of_a_block_are_those_that_bags_allow():
     assert want and sorted(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) == sorted(want)
 
 
+def test_one_bag_of_words_in_many_orders_makes_no_rows_of_pairs(spark, monkeypatch):
+    """All texts have the same words, so bags tell none apart, and nearly all pairs fail when they are aligned."""
+    monkeypatch.setattr(near_dup, "sketches", lambda w, orders: near_dup.np.zeros(1, near_dup.np.int64))
+    r = random.Random(37)
+    rows, own = [], [f"w{k}" for k in range(30)]
+    for i in range(90):
+        text = r.sample(own, 30)
+        rows.append((2 * i, " ".join(text)))
+        if i % 9 == 0:
+            rows.append((2 * i + 1, " ".join([*text[:12], f"e{i}", *text[13:]])))
+    made, kept = {}, near_dup.kept
+
+    def counted(few, df, name):
+        out = kept(few, df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "kept", counted)
+    found = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == classes(rows)
+    assert max(made[name] for name in ("pairs", "hopeful", "links")) <= 6 * len(rows)  # 4950 pairs
+
+
+def test_pairs_of_small_parts_are_those_that_bitmaps_and_bags_allow():
+    r = np.random.default_rng(38)
+    texts = [mix(r.integers(0, 40, n).astype(np.uint64)) for n in (10, 12, 30, 33, 34, 36, 40, 60, 64, 66, 70, 70) for _ in range(4)]
+    docs = np.repeat(np.arange(len(texts)), 2)  # each lies in two parts
+    parts = np.concatenate([r.permutation(5)[:2] for _ in texts])
+    firsts = [sorted(parts[docs == d].tolist()) for d in docs]
+    bags, bits, n = [near_dup.bag_of(t) for t in texts], np.stack([near_dup.bitmap_of(t) for t in texts]), np.array([len(t) for t in texts])
+    labels = r.integers(0, 8, len(texts))
+    x, y = near_dup.pairs_of_small_parts(parts, docs, labels[docs], n[docs], bits[docs], [bags[d] for d in docs], firsts, 0.5)
+    assert (parts[x] == parts[y]).all()
+    want = set()
+    for i, j in combinations(range(len(texts)), 2):
+        most = int(max(n[i], n[j]))
+        edits = near_dup.edit_limit(most, 0.5)
+        few_bits = np.unpackbits((bits[i] ^ bits[j]).view(np.uint8)).sum() <= 2 * edits
+        if set(parts[docs == i]) & set(parts[docs == j]) and labels[i] != labels[j] and min(n[i], n[j]) >= 0.5 * most and few_bits and near_dup.common_at_most(bags[i], bags[j]) >= most - edits:
+            want.add((i, j))
+    assert want and sorted(zip(np.minimum(docs[x], docs[y]).tolist(), np.maximum(docs[x], docs[y]).tolist(), strict=True)) == sorted(want)
+
+
 def test_bags_bound_the_words_in_common():
     r = np.random.default_rng(29)
     for _ in range(500):
