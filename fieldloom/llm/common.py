@@ -5,9 +5,11 @@ Word hashes are 64 bits wide. A word is a run of bytes other than space and \\t.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +117,27 @@ def small_batches(spark: SparkSession, most: str = "8m"):
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Hands what Arrow and NumPy have freed back to the system: else a Python worker keeps the most that any of its tasks
+    held, and takes it along into the queries that follow."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another libc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(run):
+    """An Arrow function of batches whose task ends with `give_back`."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def slices(batches, most: int = 1 << 22):
     """Arrow batches cut into pieces of about `most` bytes, so that what a task makes of one stays small."""
     for batch in batches:

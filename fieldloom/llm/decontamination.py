@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_tables, schema_text, text_chunks, word_hashes
+from .common import byte_tables, giving_back, schema_text, text_chunks, word_hashes
 
 MAX_ERROR = 0.2
 MIN_WORDS = 1
@@ -181,4 +181,4 @@ def scan(rows: DataFrame, ids: list[int], texts: list[str], max_error: float, mi
             rest = batch.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(leaks, kind)], names=[*rest, "leaks"])
 
-    return rows.mapInArrow(run, schema_text(rows, rows.columns)[2:])
+    return rows.mapInArrow(giving_back(run), schema_text(rows, rows.columns)[2:])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, schema_text, text_chunks, written
+from .common import giving_back, mix, schema_text, text_chunks, written
 
 MIN_RATE = 1e-5
 SHARE = 0.1
@@ -90,7 +90,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
     known = docs.where(F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    return known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return known.mapInArrow(giving_back(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -165,4 +165,4 @@ def identify(docs: DataFrame, model: LanguageFilters, carry: tuple[str, ...] = (
 
     rest = [c for c in carry if c != "text"]
     schema = f"doc_id long, lang_pred string, score double{schema_text(docs, carry)}"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *rest).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *rest).mapInArrow(giving_back(run), schema)

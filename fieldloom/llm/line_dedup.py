@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, schema_text, written
+from .common import giving_back, mix, schema_text, written
 
 MARGIN = b" \t\n\v\f\r"
 KEY = ["h1", "h2"]
@@ -58,7 +58,7 @@ def postings_of(docs: DataFrame, min_chars: int) -> DataFrame:
                     ids.extend([doc_id] * len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h1, h2, ids)], names=["h1", "h2", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(run), "h1 long, h2 long, doc_id long")
 
 
 class CuckooFilter:
@@ -255,7 +255,7 @@ class LineIndex:
                 arrays = [batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *map(batch.column, carry)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "n_lines", "n_dropped", *carry])
 
-        return rows.mapInArrow(run, f"doc_id long, text string, n_lines long, n_dropped long{schema_text(docs, carry)}")
+        return rows.mapInArrow(giving_back(run), f"doc_id long, text string, n_lines long, n_dropped long{schema_text(docs, carry)}")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import byte_tables, mix, slices, small_batches, text_chunks, word_hashes, written
+from .common import byte_tables, giving_back, mix, slices, small_batches, text_chunks, word_hashes, written
 
 RUN = 5
 SHORT, SHORT_RUN = 75, 3
@@ -235,7 +235,7 @@ def promising(pairs: DataFrame, bags: DataFrame, similarity: float, few) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
     both = both.select("a", "b", "n_a", "n_b", "bag_a", "bag_b")
-    return few(both).mapInArrow(run, "a long, b long")
+    return few(both).mapInArrow(giving_back(run), "a long, b long")
 
 
 def profiles(docs: DataFrame, similarity: float) -> DataFrame:
@@ -262,7 +262,7 @@ def profiles(docs: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "rank", "n_words", "h1", "h2", "bag", "bits", "sketches"])
 
     rank = "rank struct<size: int, hash: bigint>"
-    return docs.select("doc_id", "text", text_rank("text").alias("rank")).mapInArrow(run, f"doc_id long, {rank}, n_words long, h1 long, h2 long, bag binary, bits array<long>, sketches array<long>")
+    return docs.select("doc_id", "text", text_rank("text").alias("rank")).mapInArrow(giving_back(run), f"doc_id long, {rank}, n_words long, h1 long, h2 long, bag binary, bits array<long>, sketches array<long>")
 
 
 def edits_within(a: list[int], b: list[int], most: int) -> int | None:
@@ -351,7 +351,7 @@ def words_of(docs: DataFrame, wanted: DataFrame, few=as_is) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rank"), pa.array(out, pa.binary())], names=["doc_id", "rank", "words"])
 
     texts = among(docs, wanted).select("doc_id", text_rank("text").alias("rank"), "text")
-    words = few(texts).mapInArrow(shrink, "doc_id long, rank struct<size: int, hash: bigint>, words binary")
+    words = few(texts).mapInArrow(giving_back(shrink), "doc_id long, rank struct<size: int, hash: bigint>, words binary")
     return kept(few, words.groupBy("doc_id").agg(F.max_by("words", "rank").alias("words")), "words")
 
 
@@ -370,7 +370,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, few=as_is) ->
                     kept.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
-    return few(both.select("a", "b", "words_a", "words_b")).mapInArrow(align, "a long, b long")
+    return few(both.select("a", "b", "words_a", "words_b")).mapInArrow(giving_back(align), "a long, b long")
 
 
 def lower_labels(labels: DataFrame, links: DataFrame, few=as_is) -> DataFrame:
@@ -580,7 +580,7 @@ def rare_words(words: DataFrame, similarity: float, few=as_is) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bin", "n"])
 
     counts = np.zeros(BINS, np.int64)
-    for row in few(words).mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    for row in few(words).mapInArrow(giving_back(count), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         counts[row["bin"]] = row["n"]
 
     def choose(batches):
@@ -596,7 +596,7 @@ def rare_words(words: DataFrame, similarity: float, few=as_is) -> DataFrame:
             arrays = [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(n_words), pa.array(places), pa.array(np.concatenate(found).view(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "place", "word"])
 
-    return kept(few, few(words).mapInArrow(choose, "doc_id long, n_words long, place long, word long"), "rare-words")
+    return kept(few, few(words).mapInArrow(giving_back(choose), "doc_id long, n_words long, place long, word long"), "rare-words")
 
 
 def may_come(round_: int, similarity: float) -> F.Column:
@@ -645,7 +645,7 @@ def split_deeper(members: DataFrame, docs: DataFrame, few=as_is) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*carried, pa.array(keys), *(pa.array(np.ascontiguousarray(x)) for x in parts.T)], names=["doc_id", "n_words", "rank", "bucket", *columns])
 
     schema = "doc_id long, n_words long, rank struct<size: int, hash: bigint>, bucket long, " + ", ".join(f"{c} long" for c in columns)
-    found = few(texts).mapInArrow(run, schema).groupBy("doc_id", "bucket").agg(F.first("n_words").alias("n_words"), *(F.max_by(c, "rank").alias(c) for c in columns))
+    found = few(texts).mapInArrow(giving_back(run), schema).groupBy("doc_id", "bucket").agg(F.first("n_words").alias("n_words"), *(F.max_by(c, "rank").alias(c) for c in columns))
     return kept(few, found, "parts")
 
 
@@ -675,8 +675,9 @@ def classes_of(docs: DataFrame, similarity: float) -> DataFrame:
     pairs = buckets.where("doc_id <> first").join(lengths, "first").where(fit("n_words", "n_first", similarity))
     firsts = kept(few, pairs.groupBy(F.col("first").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "firsts")
     nearest = F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")
-    tried = found = docs.sparkSession.createDataFrame([], "a long, b long")
-    labels = docs.sparkSession.createDataFrame([], "doc_id long, label long")
+    none = docs.sparkSession.range(0)  # not createDataFrame: that is an RDD of Python, with workers of its own in each step
+    tried = found = none.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    labels = none.select(F.col("id").alias("doc_id"), F.col("id").alias("label"))
 
     def compare(pairs: DataFrame) -> None:
         """Adds the links among the pairs that were not compared before."""

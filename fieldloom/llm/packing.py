@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_tables, text_chunks, word_hashes, written
+from .common import byte_tables, giving_back, text_chunks, word_hashes, written
 
 SEQUENCE = 2048
 UNIT = 16
@@ -145,7 +145,7 @@ def cut_pieces(
                     arrays.append(pa.array(pieces, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(run), schema)
 
 
 def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -102,6 +102,33 @@ def test_batches_are_small_while_near_duplicates_runs(spark):
     assert [b.num_rows for b in common.slices([whole, whole.slice(0, 0)], 10_000)] == [9] * 11 + [1]
 
 
+def test_tasks_give_back_what_they_have_freed():
+    """Blocks that lie below one still held stay with the process unless they are given back."""
+    from fieldloom.llm import common
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    held = []
+
+    def run(batches):
+        for batch in batches:
+            blocks = [near_dup.np.ones(6_000) for _ in range(4_000)]  # 48 kB each
+            held.append(blocks[-1])
+            yield batch
+
+    before = resident()
+    assert list(common.giving_back(run)([1])) == [1]
+    assert resident() - before < 60 << 20  # of 192 MB
+
+
+def test_near_duplicates_begins_without_rdds_of_python(spark, monkeypatch):
+    docs = frame(spark, [(1, "a b c"), (2, "a b c"), (3, "d")])
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def classes(rows):
     """doc_id -> smallest id of its class, by all pairs."""
     label = {i: i for i, _ in rows}
