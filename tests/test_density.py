@@ -142,3 +142,47 @@ def test_meetings_are_flat_and_no_table_of_rows_goes_through_the_driver(spark):
     rows = met.select("x_block", "y_block", F.size("x_ids").alias("n"), F.size("x_values").alias("m")).collect()
     assert all(r["m"] == 2 * r["n"] for r in rows)
     assert len({frozenset((r["x_block"], r["y_block"])) for r in rows}) == len(rows)
+
+
+def test_edges_of_a_task_are_one_forest(spark, monkeypatch):
+    """A task keeps the forest of all its meetings, so edges grow with points and tasks, not with pairs of blocks."""
+    points = blobs(7, [60, 40], noise=20)
+    frame = spark.createDataFrame([(i, x, 0.4) for i, x in points], "id long, v array<double>, core double")
+    meet = D.meetings
+    monkeypatch.setattr(D, "meetings", lambda p, r: meet(p, r, rows=5, pivots=5))
+    edges = D.forest_edges(frame, 30.0)
+    tasks = edges.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert tasks and all(r["count"] < len(points) for r in tasks)
+
+
+@pytest.mark.parametrize("few", [0, 40])
+def test_rounds_give_what_one_task_gives(spark, monkeypatch, few):
+    points = blobs(5, [30, 12], noise=6)
+    frame = spark.createDataFrame([(*p, 1) for p in points], "vec_id long, embedding array<double>, core int")
+    want = sorted((r["id"], r["core"], r["cluster"]) for r in D.density_clusters(frame, 4.0, 4, 6).collect())
+    monkeypatch.setattr(D, "FEW", few)
+    assert sorted((r["id"], r["core"], r["cluster"]) for r in D.density_clusters(frame, 4.0, 4, 6).collect()) == want
+    assert len({c for _, _, c in want if c is not None}) >= 2
+
+
+def test_forest_and_components_of_places():
+    """The same forest as one edge at a time gives, with many equal distances; each component goes by its least place."""
+    rng = np.random.default_rng(2)
+    n, near = 400, 600
+    v = rng.normal(size=(n, 3))
+    v[50:90] = v[0]
+    a, b = (x.astype(np.int64) for x in np.triu_indices(n, 1))
+    w = np.round(np.sqrt(((v[a] - v[b]) ** 2).sum(axis=1)), 2)
+    label = np.arange(n)
+    want = []
+    for k in np.lexsort((b, a, w)):
+        p, q = label[a[k]], label[b[k]]
+        if p != q:
+            label[label == q] = p
+            want.append(k)
+    assert sorted(D.forest_of(n, a, b, np.lexsort((b, a, w)))) == sorted(want)
+    few = rng.choice(len(a), near, replace=False)
+    parts = D.joined(n, a[few], b[few])
+    for k in few:
+        assert parts[a[k]] == parts[b[k]]
+    assert (parts <= np.arange(n)).all() and (parts[parts] == parts).all()
