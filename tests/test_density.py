@@ -186,3 +186,17 @@ def test_forest_and_components_of_places():
     for k in few:
         assert parts[a[k]] == parts[b[k]]
     assert (parts <= np.arange(n)).all() and (parts[parts] == parts).all()
+
+
+def test_rare_rows_work_out_the_clusters_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    frame = spark.createDataFrame([(k, [1.0, 0.01 * k]) for k in range(8)], "vec_id long, embedding array<double>")
+    clusters = spark.createDataFrame([(k, 0 if k < 6 else None) for k in range(8)], "id long, cluster long").mapInPandas(counted, "id long, cluster long")
+    assert {6, 7} <= {r["id"] for r in D.rare_rows(frame, clusters, 0.99).collect()}
+    assert seen.value == 8
