@@ -79,35 +79,50 @@ def nearest(points: DataFrame, places: DataFrame, gate_m: float, finer: int = 3)
     return points.select("id", *spot).join(found, spot, "left").select("id", "other", "metres")
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, gate_m: float) -> DataFrame:
+def turned(lon: Column) -> Column:
+    """A difference of longitudes the short way around; what is short already stays as it is, to the last bit."""
+    once = F.when(F.abs(lon) <= 180.0, lon).when((lon > 180.0) & (lon <= 540.0), lon - 360.0).when((lon < -180.0) & (lon >= -540.0), lon + 360.0)
+    return once.otherwise(F.pmod(lon + 180.0, F.lit(360.0)) - 180.0)
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, gate_m: float, finer: int = 1) -> DataFrame:
     """(id, line, metres): the nearest of the lines' stretches (id, lat1, lon1, lat2, lon2; several rows may have one id)
     within the gate, in the plane around the point; of equal ones the smaller id, else nulls.
 
-    Stretches are cut into pieces no longer than the gate, each met by its middle."""
-    flat = lambda lat, lon, at: (F.pmod(lon - F.col("lon") + 180.0, F.lit(360.0)) - 180.0) * F.cos(F.radians(at)) * DEGREE_M
-    usable = lines.where(sound("lat1", "lon1") & sound("lat2", "lon2") & F.col("id").isNotNull())
-    turn = F.pmod(F.col("lon2") - F.col("lon1") + 180.0, F.lit(360.0)) - 180.0
-    long_m = F.sqrt(F.pow((F.col("lat2") - F.col("lat1")) * DEGREE_M, 2) + F.pow(turn * DEGREE_M, 2))
-    pieces = usable.withColumns({"_turn": turn, "_n": F.greatest(F.ceil(long_m / gate_m), F.lit(1))})
-    pieces = pieces.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)))
-    at = lambda a, d, k: F.col(a) + d * (F.col("_k") + k) / F.col("_n")
-    rise = F.col("lat2") - F.col("lat1")
-    pieces = pieces.select(
-        F.col("id").alias("line"), at("lat1", rise, 0).alias("la"), at("lon1", F.col("_turn"), 0).alias("oa"), at("lat1", rise, 1).alias("lb"), at("lon1", F.col("_turn"), 1).alias("ob"),
-        at("lat1", rise, 0.5).alias("mid_lat"), at("lon1", F.col("_turn"), 0.5).alias("mid_lon"),
-    )
-    reach = 1.6 * gate_m  # half a piece and the gate, and how far the plane may be off
-    a = with_cells_in_reach(points.select("id", "lat", "lon"), "lat", "lon", reach)
-    both = a.join(with_cell(pieces, "mid_lat", "mid_lon", reach), ["_band", "_cell"])
-    x1, x2 = (flat(None, F.col(c), F.col("lat")) for c in ("oa", "ob"))
-    y1, y2 = ((F.col(c) - F.col("lat")) * DEGREE_M for c in ("la", "lb"))
-    both = both.withColumns({"x1": x1, "x2": x2, "y1": y1, "y2": y2})
-    length = F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)
-    t = F.when(length > 0, -(F.col("x1") * (F.col("x2") - F.col("x1")) + F.col("y1") * (F.col("y2") - F.col("y1"))) / length).otherwise(0.0)
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    away = F.sqrt(F.pow(F.col("x1") + t * (F.col("x2") - F.col("x1")), 2) + F.pow(F.col("y1") + t * (F.col("y2") - F.col("y1")), 2))
-    best = both.withColumn("metres", away).where(F.col("metres") <= gate_m).groupBy("id").agg(F.min(F.struct("metres", "line")).alias("best"))
-    return points.select("id").join(best.select("id", "best.line", "best.metres"), "id", "left")
+    Points of one spot are one, and so are stretches with the same ends. The search begins with a reach of the gate /
+    4 ** finer, and only points that found nothing go on to four times the reach. Stretches are cut into pieces no longer
+    than the reach, each met by its middle; what is measured is the whole stretch."""
+    spot, ends = ["lat", "lon"], ["lat1", "lon1", "lat2", "lon2"]
+    usable = lines.where(sound("lat1", "lon1") & sound("lat2", "lon2") & F.col("id").isNotNull()).groupBy(*ends).agg(F.min("id").alias("line"))
+    usable = usable.withColumn("turn", turned(F.col("lon2") - F.col("lon1")))
+    usable = cut(usable.withColumn("long", F.sqrt(F.pow((F.col("lat2") - F.col("lat1")) * DEGREE_M, 2) + F.pow(F.col("turn") * DEGREE_M, 2))))
+    left = cut(points.where(sound("lat", "lon") & F.col("id").isNotNull()).select(*spot).distinct().withColumns({"spot": F.struct(*spot), "scale": F.cos(F.radians("lat")) * DEGREE_M}))
+
+    def met(left: DataFrame, reach_m: float) -> DataFrame:
+        wide = 1.6 * reach_m  # half a piece and the reach, and how far the plane may be off
+        pieces = usable.withColumn("n", F.greatest(F.ceil(F.col("long") / reach_m), F.lit(1)).cast("long"))
+        pieces = pieces.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("middle", (F.col("k") + 0.5) / F.col("n"))
+        pieces = pieces.withColumns({"mid_lat": F.col("lat1") + (F.col("lat2") - F.col("lat1")) * F.col("middle"), "on": F.col("turn") * F.col("middle")})
+        pieces = with_cell(pieces.withColumn("mid_lon", F.col("lon1") + F.col("on")), "mid_lat", "mid_lon", wide)
+        pieces = pieces.select("line", "lat1", "lat2", F.col("lon1"), "turn", "on", "_band", "_cell")
+        both = with_cells_in_reach(left, "lat", "lon", wide).join(pieces, ["_band", "_cell"])
+        away = F.col("lon1") - F.col("lon")
+        away = F.when(F.abs("turn") <= 90.0, turned(away)).otherwise(turned(away + F.col("on")) - F.col("on"))  # on the piece's side of the globe
+        both = both.select("spot", "line", (away * F.col("scale")).alias("x1"), ((away + F.col("turn")) * F.col("scale")).alias("x2"), *(((F.col(f"lat{k}") - F.col("lat")) * DEGREE_M).alias(f"y{k}") for k in (1, 2)))
+        length = F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)
+        t = F.when(length > 0, -(F.col("x1") * (F.col("x2") - F.col("x1")) + F.col("y1") * (F.col("y2") - F.col("y1"))) / length).otherwise(0.0)
+        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        metres = F.sqrt(F.pow(F.col("x1") + t * (F.col("x2") - F.col("x1")), 2) + F.pow(F.col("y1") + t * (F.col("y2") - F.col("y1")), 2))
+        best = both.select("spot", "line", metres.alias("metres")).where(F.col("metres") <= reach_m).groupBy("spot").agg(F.min(F.struct("metres", "line")).alias("best"))
+        return cut(best)
+
+    found = None
+    for k in range(finer, -1, -1):
+        best = met(left, gate_m / 4**k)
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best.select("spot"), "spot", "left_anti")
+    found = points.select("id", *spot).join(found.select("spot.*", "best"), spot).groupBy("id").agg(F.min("best").alias("best"))
+    return points.select("id").join(found.select("id", "best.line", "best.metres"), "id", "left")
 
 
 def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:

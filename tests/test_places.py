@@ -80,3 +80,31 @@ def test_well_known_text(spark):
     rows = ["POINT(1 2)", "point z (1.5 -2 7)", "SRID=4326;LINESTRING(0 0, 4 0, 4 4)", "POLYGON((0 0, 6 0, 0 6, 0 0))", "POLYGON((0 0, 1 0, 0 0))", "CIRCLE(1)", "", None, "LINESTRING(1 1, 1 1)"]
     found = spark.createDataFrame([(t,) for t in rows], "t string").select(places.wkt_centroid(F.col("t")).alias("c")).collect()
     assert [r["c"] and tuple(r["c"]) for r in found] == [(1.0, 2.0), (1.5, -2.0), (3.0, 1.0), (2.0, 2.0), (0.5, 0.0), None, None, None, (1.0, 1.0)]
+
+
+def test_nearest_line_measures_whole_stretches(spark):
+    """Points on roads that lie on one another: the last bits tell which is nearest, and those are of whole stretches.
+    Copies of roads and of spots give what one gives."""
+    rng = random.Random(8)
+    roads, spots = [], []
+    for k in range(40):
+        lat, lon, up, east = 12.0 + rng.randrange(200) / 1e4, 179.9 + rng.randrange(2000) / 1e4, rng.randrange(-24, 25) / 5000, rng.randrange(-20, 20) / 5000
+        far = [(lat + up * m, lon + east * m) for m in (1, 2, 3)]
+        roads += [(200 - 3 * k - m, lat, lon - 360 * (lon > 180), *at) for m, at in enumerate(far)]
+        roads[-3:] = [(i, a, b, c, d - 360 * (lon > 180)) for i, a, b, c, d in roads[-3:]]
+        spots += [(lat + up * m, lon + east * m) for m in (0.25, 0.3, 1.3, 2.9)]
+    points = [(k, a, b - 360 * (b > 180)) for k, (a, b) in enumerate(spots)]
+
+    def metres(p, r):
+        c = math.cos(math.radians(p[1])) * 111_320.0
+        d = r[2] - p[2]
+        d = d - 360 if d > 180 else d + 360 if d < -180 else d
+        x1, x2, y1, y2 = d * c, (d + (r[4] - r[2])) * c, (r[1] - p[1]) * 111_320.0, (r[3] - p[1]) * 111_320.0
+        size = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = min(max(-(x1 * (x2 - x1) + y1 * (y2 - y1)) / size, 0.0), 1.0) if size > 0 else 0.0
+        return math.sqrt((x1 + t * (x2 - x1)) ** 2 + (y1 + t * (y2 - y1)) ** 2)
+
+    want = {p[0]: min((metres(p, r), r[0]) for r in roads)[1] for p in points}
+    frames = [spark.createDataFrame(points + [(1000 + i, a, b) for i, a, b in points], "id long, lat double, lon double"), spark.createDataFrame(roads + [(1000 + r[0], *r[1:]) for r in roads], "id long, lat1 double, lon1 double, lat2 double, lon2 double")]
+    got = {r["id"]: r["line"] for r in places.nearest_line(*frames, 150.0).collect()}
+    assert got == want | {1000 + i: line for i, line in want.items()}
