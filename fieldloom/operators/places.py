@@ -52,11 +52,12 @@ def with_cells_in_reach(df: DataFrame, lat: str, lon: str, reach_m: float) -> Da
     return df.withColumn("_cell", F.explode(F.array_distinct(F.array(*(F.pmod(own + k, n).cast("long") for k in (-1, 0, 1))))))
 
 
-def within(points: DataFrame, places: DataFrame, reach_m: float) -> DataFrame:
-    """(id, other, metres) of all pairs in reach. Both sides: id, lat, lon; ids are unique on each."""
-    a = with_cells_in_reach(points.select("id", "lat", "lon"), "lat", "lon", reach_m)
-    b = with_cell(places.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "lat2", "lon2", reach_m)
-    both = a.join(b, ["_band", "_cell"]).withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
+def within(points: DataFrame, places: DataFrame, reach_m: float, *same: str) -> DataFrame:
+    """(id, other, metres) of all pairs in reach that are equal in the columns `same`. Both sides: id, lat, lon; ids are
+    unique on each."""
+    a = with_cells_in_reach(points.select("id", "lat", "lon", *same), "lat", "lon", reach_m)
+    b = with_cell(places.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *same), "lat2", "lon2", reach_m)
+    both = a.join(b, ["_band", "_cell", *same]).withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
     return both.where(F.col("metres") <= reach_m).select("id", "other", "metres")
 
 
@@ -125,40 +126,60 @@ def nearest_line(points: DataFrame, lines: DataFrame, gate_m: float, finer: int
     return points.select("id").join(found.select("id", "best.line", "best.metres"), "id", "left")
 
 
-def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, seed): what a pass in the order of ids gives that makes each node a seed unless an earlier seed is its
-    neighbour, and gives every other node to its earliest such seed. `edges` (id, other) go both ways.
+def early_seeds(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id): seeds that the pass of `first_seeds` makes of `nodes` (id, ready), as far as their links (id, other; both ways)
+    tell. A node that is not ready never becomes one.
 
-    In rounds: a node before all its undecided neighbours is a seed; its neighbours are decided."""
-    links = cut(edges.where("id <> other").select("id", "other").distinct())
-    open_, seeds = cut(nodes.select("id").distinct()), None
-    left = links
-    while not open_.isEmpty():
+    In rounds: a ready node before all its undecided neighbours is a seed; its neighbours are decided."""
+    open_, left, seeds = cut(nodes.select("id", "ready")), links, None
+    while True:
         first = left.groupBy("id").agg(F.min("other").alias("least"))
-        now = cut(open_.join(first, "id", "left").where(F.col("least").isNull() | (F.col("id") < F.col("least"))).select("id"))
+        now = cut(open_.join(first, "id", "left").where(F.col("ready") & (F.col("least").isNull() | (F.col("id") < F.col("least")))).select("id"))
+        if now.isEmpty():
+            return now if seeds is None else seeds
         seeds = now if seeds is None else seeds.union(now)
         gone = cut(now.union(left.join(now, "id", "left_semi").select("other")).distinct())
         open_ = cut(open_.join(gone, "id", "left_anti"))
-        left = cut(left.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("other")), "other", "left_anti"))
-    if seeds is None:
-        return nodes.select("id", F.col("id").alias("seed")).limit(0)
-    seeds = cut(seeds)
-    near = links.join(seeds.select(F.col("id").alias("other")), "other").groupBy("id").agg(F.min("other").alias("seed"))
-    return seeds.select("id", F.col("id").alias("seed")).union(near.join(seeds, "id", "left_anti").select("id", "seed"))
+        left = cut(left.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other"))
+
+
+def first_seeds(spots: DataFrame, reach_m: float, crowd: int = 8) -> DataFrame:
+    """(id, kind, lat, lon) of the seeds of a pass in the order of ids that makes each spot a seed unless an earlier seed
+    of its kind is in reach.
+
+    The `crowd` first of each kind in each cell are compared; one of them may be a seed if no cell in reach has a later
+    one left out that comes before it. What new seeds reach is decided, and the next of each cell come up: what meets grows with
+    cells, not with the square of what they hold."""
+    columns = ["id", "kind", "lat", "lon"]
+    open_, seeds = cut(spots.select(*columns)), None
+    while not open_.isEmpty():
+        first = Window.partitionBy("kind", "_band", "_cell").orderBy("id")
+        some = with_cell(open_, "lat", "lon", reach_m).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= crowd)
+        some = cut(some)
+        last = some.where(F.col("_n") == crowd).select("kind", "_band", "_cell", F.col("id").alias("last"))  # others of the cell come later
+        bar = with_cells_in_reach(some.select(*columns), "lat", "lon", reach_m).join(last, ["kind", "_band", "_cell"]).groupBy("id").agg(F.min("last").alias("bar"))
+        nodes = some.select("id").join(bar, "id", "left").select("id", (F.col("bar").isNull() | (F.col("id") <= F.col("bar"))).alias("ready"))
+        links = cut(within(some, some, reach_m, "kind").where("id <> other").select("id", "other"))
+        now = cut(some.select(*columns).join(early_seeds(nodes, links), "id", "left_semi"))
+        seeds = now if seeds is None else seeds.union(now)
+        open_ = cut(open_.join(within(now, open_, reach_m, "kind").select(F.col("other").alias("id")), "id", "left_anti"))
+    return spots.select(*columns).limit(0) if seeds is None else cut(seeds)
 
 
 def consensus(elements: DataFrame, radius_m: float) -> DataFrame:
     """(seed, kind, n, best, conf) of elements (id, kind, lat, lon, conf): each takes those of its kind within the radius
     that no earlier one took; `best` is the most confident, and agreement raises the mean confidence by a tenth for
-    each further element, up to 0.99. A missing confidence is 0.5. Ids order and are unique."""
+    each further element, up to 0.99. A missing confidence is 0.5. Ids order and are unique. Elements of one kind at one
+    spot fare as the first of them."""
     elements = elements.withColumn("conf", F.coalesce("conf", F.lit(0.5)))
-    spots = elements.select("id", "kind", "lat", "lon")
-    pairs = within(spots, spots, radius_m)  # of all kinds; cells are small
-    kinds = elements.select("id", "kind")
-    pairs = pairs.join(kinds, "id").join(kinds.select(F.col("id").alias("other"), F.col("kind").alias("_kind")), "other").where("kind = _kind")
-    taken = first_independent(elements, pairs).join(elements, "id")
-    n, mean = F.count(F.lit(1)), F.avg("conf")
-    return taken.groupBy("seed", "kind").agg(n.alias("n"), F.max_by("id", F.struct("conf", -F.col("id"))).alias("best"), F.least(F.lit(0.99), mean * (1 + 0.1 * (n - 1))).alias("conf"))
+    place = ["kind", "lat", "lon"]
+    spots = cut(elements.where(sound("lat", "lon") & F.col("kind").isNotNull() & F.col("id").isNotNull()).groupBy(*place).agg(F.min("id").alias("id")))
+    near = within(first_seeds(spots, radius_m), spots, radius_m, "kind").groupBy("other").agg(F.min("id").alias("seed"))
+    near = near.join(spots.withColumnRenamed("id", "other"), "other").select("seed", *place)
+    taken = elements.select("id", *place, "conf").join(near, place, "left").withColumn("seed", F.coalesce("seed", "id"))  # alone without a place or kind
+    n, digits = F.count(F.lit(1)), F.col("conf").try_cast("decimal(38,20)")  # sums of digits don't hang on the order
+    mean = F.when(F.count(digits) == n, F.sum(digits).cast("double") / n).otherwise(F.avg("conf"))
+    return taken.groupBy("seed", "kind").agg(n.alias("n"), F.max_by("id", F.struct("conf", -F.col("id"))).alias("best"), F.least(F.lit(0.99), mean * ((n + 9) / 10)).alias("conf"))
 
 
 # Well-known text

@@ -108,3 +108,42 @@ def test_nearest_line_measures_whole_stretches(spark):
     frames = [spark.createDataFrame(points + [(1000 + i, a, b) for i, a, b in points], "id long, lat double, lon double"), spark.createDataFrame(roads + [(1000 + r[0], *r[1:]) for r in roads], "id long, lat1 double, lon1 double, lat2 double, lon2 double")]
     got = {r["id"]: r["line"] for r in places.nearest_line(*frames, 150.0).collect()}
     assert got == want | {1000 + i: line for i, line in want.items()}
+
+
+def literal_consensus(rows, radius):
+    used, want = set(), []
+    for r in rows:
+        if r[0] in used:
+            continue
+        cluster = [f for f in rows if f[0] not in used and f[1] == r[1] and (f[0] == r[0] or metres((0, *r[2:4]), (0, *f[2:4])) <= radius)]
+        used |= {f[0] for f in cluster}
+        best = max(cluster, key=lambda f: (f[4], -f[0]))
+        want.append((r[0], len(cluster), best[0]))
+    return sorted(want)
+
+
+def test_consensus_of_crowds_does_not_make_their_pairs(spark, monkeypatch):
+    """Many at one spot, many within the radius, and cells of more than one round; no join makes the pairs of a crowd."""
+    rng = random.Random(6)
+    where = [(12.0, 180.0)] * 200 + [(12.0 + rng.uniform(0, 0.02), -180.0 + rng.uniform(0, 0.02)) for _ in range(500)]
+    rng.shuffle(where)
+    rows = [(k, rng.choice("ab"), *p, rng.choice([0.2, 0.4, 0.9])) for k, p in enumerate(where)]
+    made, within = [], places.within
+
+    def counted(*of):
+        made.append(within(*of).count())
+        return within(*of)
+
+    monkeypatch.setattr(places, "within", counted)
+    found = places.consensus(spark.createDataFrame(rows, "id long, kind string, lat double, lon double, conf double"), 700.0).collect()
+    assert sorted((r["seed"], r["n"], r["best"]) for r in found) == literal_consensus(rows, 700.0)
+    assert max(made) < 10 * len(rows)
+
+
+def test_consensus_adds_digits(spark):
+    """The mean of 16 is a half of the sixth digit: the order of a sum of doubles would tell which way it is rounded."""
+    conf, rng, rows = [0.1, 0.2, 0.3, 0.7, 0.35, 0.37, 0.41, 0.29, 0.33, 0.39, 0.17, 0.43, 0.51, 0.07, 0.61, 0.32], random.Random(1), []
+    for k in range(30):
+        rows += [(100 * k + i, f"kind {k}", 1.0, 1.0, x) for i, x in enumerate(rng.sample(conf, 16))]
+    found = places.consensus(spark.createDataFrame(rows, "id long, kind string, lat double, lon double, conf double"), 10.0).collect()
+    assert [(r["n"], r["conf"]) for r in found] == [(16, 0.8671875)] * 30
