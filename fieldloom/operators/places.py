@@ -109,12 +109,13 @@ def nearest_line(points: DataFrame, lines: DataFrame, gate_m: float, finer: int
         both = with_cells_in_reach(left, "lat", "lon", wide).join(pieces, ["_band", "_cell"])
         away = F.col("lon1") - F.col("lon")
         away = F.when(F.abs("turn") <= 90.0, turned(away)).otherwise(turned(away + F.col("on")) - F.col("on"))  # on the piece's side of the globe
-        both = both.select("spot", "line", (away * F.col("scale")).alias("x1"), ((away + F.col("turn")) * F.col("scale")).alias("x2"), *(((F.col(f"lat{k}") - F.col("lat")) * DEGREE_M).alias(f"y{k}") for k in (1, 2)))
+        both = both.select("spot", "line", (away * F.col("scale")).alias("x1"), ((away + F.col("turn")) * F.col("scale")).alias("x2"), *(((F.col(f"lat{k}") - F.col("lat")) * DEGREE_M).alias(f"y{k}") for k in (1, 2)), F.monotonically_increasing_id().alias("row"))
         length = F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)
         t = F.when(length > 0, -(F.col("x1") * (F.col("x2") - F.col("x1")) + F.col("y1") * (F.col("y2") - F.col("y1"))) / length).otherwise(0.0)
         t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
         metres = F.sqrt(F.pow(F.col("x1") + t * (F.col("x2") - F.col("x1")), 2) + F.pow(F.col("y1") + t * (F.col("y2") - F.col("y1")), 2))
-        best = both.select("spot", "line", metres.alias("metres")).where(F.col("metres") <= reach_m).groupBy("spot").agg(F.min(F.struct("metres", "line")).alias("best"))
+        # `row` keeps the filter above the columns it is made of: inside the join they would be worked out again at each use
+        best = both.select("spot", "line", "row", metres.alias("metres")).where((F.col("metres") <= reach_m) & (F.col("row") >= 0)).groupBy("spot").agg(F.min(F.struct("metres", "line")).alias("best"))
         return cut(best)
 
     found = None
